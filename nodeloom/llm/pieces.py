@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,7 +110,8 @@ class Transducer:
         self.rank = self.scores
         self.penalty = -min(self.scores, default=0.0) + 10.0
         self.junctions: dict[int, bool] = {}
-        self.paths: dict[str, list[int]] = {}
+        self.paths: dict[str, bytes] = {}  # of short chunks met lately, and
+        self.older: dict[str, bytes] = {}  # of those before, which are dropped when paths is full again
         self.surface = [self._surface(i, k) for i, k in enumerate(kinds)]
 
     def _surface(self, i: int, kind: int) -> bytes:
@@ -184,29 +186,32 @@ class Transducer:
     def _bytes(self, char: str) -> list[int]:
         return [self.bytes_at.get(b, self.unknown) for b in char.encode("utf-8", "surrogatepass")] if self.bytes_at else [self.unknown]
 
-    def _path(self, chunk: str) -> list[int]:
-        got = self.shortest(chunk)
+    def _path(self, chunk: str) -> bytes:
+        got = self.older.get(chunk) or np.array(self.shortest(chunk), "<i4").tobytes()
         if len(chunk) <= KEEP_LENGTH:
             if len(self.paths) >= KEEP_CHUNKS:
-                self.paths.clear()
+                self.older, self.paths = self.paths, {}
             self.paths[chunk] = got
         return got
 
-    def encode(self, text: str) -> list[int]:
-        """Piece ids of a whole text."""
+    def packed(self, text: str) -> bytes:
+        """Piece ids of a whole text, four bytes each."""
         if not text:
-            return []
+            return b""
         if self.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
-        out: list[int] = []
+        path, parts = self._path, []
         for k, plain in enumerate(text.split(MARK)):
             if k:
-                out.extend(self._bytes(MARK))
+                parts.append(np.array(self._bytes(MARK), "<i4").tobytes())
             marked = plain.replace(" ", MARK)
-            for chunk in self.chunks(MARK + marked if self.prefix and not k and text else marked):
-                got = self.paths.get(chunk)
-                out.extend(self._path(chunk) if got is None else got)
-        return out
+            chunks = self.chunks(MARK + marked if self.prefix and not k else marked)
+            parts += [self.paths.get(c) or path(c) for c in chunks]
+        return b"".join(parts)
+
+    def encode(self, text: str) -> list[int]:
+        """Piece ids of a whole text."""
+        return np.frombuffer(self.packed(text), "<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of piece ids; bytes that are no UTF-8 become U+FFFD."""
@@ -242,15 +247,20 @@ def encoded(docs: DataFrame, text_col: str = "text", carry: list[str] | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(shipped.value)
+        surface = pa.array(machine.surface, pa.binary())
         for batch in batches:
             for i in range(0, len(batch), 256):
-                texts = batch.column(1).slice(i, 256)
-                ids = [machine.encode(t or "") for t in texts.to_pylist()]
-                same = [machine.decode(x) == (t or "") for x, t in zip(ids, texts.to_pylist(), strict=True)]
-                size = np.array([len(x) for x in ids], np.int32)
-                flat = np.concatenate([np.array(x, np.int32) for x in ids]) if ids else np.zeros(0, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[np.int32(0), np.cumsum(size, dtype=np.int32)]), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 256), lists, pa.array(size), pa.array(same)], schema.names)
+                texts = batch.column(1).slice(i, 256).fill_null("")
+                ids = [machine.packed(t) for t in texts.to_pylist()]
+                size = np.array([len(x) // 4 for x in ids], np.int32)
+                at, flat = pa.array(np.r_[np.int32(0), np.cumsum(size, dtype=np.int32)]), pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                lists = pa.ListArray.from_arrays(at, flat)
+                back = pc.binary_join(pa.ListArray.from_arrays(at, surface.take(flat)), b"")
+                plain_text = texts.cast(pa.binary())
+                if machine.prefix:
+                    plain_text = pc.binary_join_element_wise(pc.if_else(pc.equal(pc.binary_length(plain_text), 0), b"", b" "), plain_text, b"")
+                same = pc.equal(back, plain_text)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 256), lists, pa.array(size), same], schema.names)
 
     return plain.mapInArrow(run, schema)
 
