@@ -53,6 +53,16 @@ def drop_cut(*frames: DataFrame | None) -> None:
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Let this session hand rows to Python in batches of at most ``rows``.
+
+    Whole texts may be long; with Spark's 10,000 rows a batch alone can outgrow an executor.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def packed(df: DataFrame, columns: list[str] | None = None) -> Column:
     """The named columns (all, if none) as one struct, so no name of theirs can clash."""
     names = df.columns if columns is None else columns

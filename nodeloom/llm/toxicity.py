@@ -2,12 +2,13 @@
 
 Tokens are runs of letters and digits (any byte above 127 counts as a letter), with A-Z in
 lower case. The field has two states, plain and toxic; a token's evidence is the sum of the
-weights of its own word, of the word before and of the word after, plus a bias. Forward-
+weights of its own word and of its beginnings (of 4, 6 and 8 bytes, if it is longer), of the
+word before and of the word after, plus a bias. Forward-
 backward gives each token's marginal probability to be toxic; a text's score is a logistic
 function of three sums of its marginals.
 
-Token labels come from labelled documents: words that documents labelled toxic hold far more
-often than others are toxic tokens there, and every other token is plain. The field is fitted
+Token labels come from labelled documents: words and beginnings that documents labelled toxic
+hold far more often than others are toxic tokens there, and every other token is plain. The field is fitted
 by gradient ascent on its conditional likelihood, on the driver, from at most SAMPLE labelled
 documents, half of each class at most, and at most SAMPLE_CHARS characters of each; scoring
 reads every whole text.
@@ -27,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed
+from .common import packed, small_batches
 from .textops import blocks, word_hashes, words
 
 SAMPLE = 3000
 SAMPLE_CHARS = 20_000
-LEXICON = 20_000
+LEXICON = 40_000
+BEGINNINGS = (4, 6, 8)
+#: How many times as often toxic documents hold a toxic word, or a toxic beginning, as others.
+RATIO, RATIO_BEGINNING = 4, 8
 STEPS = 60
 WIDTH = 64
 
@@ -44,7 +48,7 @@ _FOLD[65:91] = np.arange(97, 123)
 
 @dataclass
 class Model:
-    """hashes: sorted word hashes; own, before, after: weights, with that of other words last."""
+    """hashes: sorted hashes of words and beginnings; own, before, after: weights, with that of others last."""
 
     hashes: np.ndarray
     own: np.ndarray
@@ -57,22 +61,28 @@ class Model:
 
 
 def _tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start byte, end byte, hash) of each token."""
+    """(document, start byte, end byte, hashes) of each token; hashes: of the word, then of its beginnings, 0 if it is no longer."""
     folded = _FOLD[data]
     doc, start, end = words(folded, at)
-    return doc, start, end, word_hashes(folded, start, end, lower=False)
+    h = np.zeros((1 + len(BEGINNINGS), len(start)), np.uint64)
+    h[0] = word_hashes(folded, start, end, lower=False)
+    for k, n in enumerate(BEGINNINGS, 1):
+        long = np.flatnonzero(end - start > n)
+        h[k, long] = word_hashes(folded, start[long], start[long] + n, lower=False) ^ np.uint64(k)
+    return doc, start, end, h
 
 
 def _ids(hashes: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
-    """Places in the lexicon; its length for words that it lacks."""
+    """Places in the lexicon; its length for what it lacks."""
     if not len(lexicon):
-        return np.zeros(len(hashes), np.int64)
+        return np.zeros(hashes.shape, np.int64)
     at = np.minimum(np.searchsorted(lexicon, hashes), len(lexicon) - 1)
     return np.where(lexicon[at] == hashes, at, len(lexicon))
 
 
 def _shifted(ids: np.ndarray, first: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids before and after each token within its document."""
+    """The word ids before and after each token within its document."""
+    ids = ids[0]
     before, after = np.full(len(ids), none), np.full(len(ids), none)
     before[1:] = np.where(first[1:], none, ids[:-1])
     after[:-1] = np.where(first[1:], none, ids[1:])
@@ -132,7 +142,7 @@ def _marginals(evidence: np.ndarray, first: np.ndarray, trans: np.ndarray, start
 
 def _evidence(m: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     before, after = _shifted(ids, first, len(m.hashes))
-    return m.bias + m.own[ids] + m.before[before] + m.after[after]
+    return m.bias + m.own[ids].sum(axis=0) + m.before[before] + m.after[after]
 
 
 def _sums(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -191,22 +201,25 @@ def _fit(texts: pa.ChunkedArray, y: np.ndarray, total: dict[int, int]) -> Model:
             doc, _, _, h = _tokens(data, at)
             parts.append((doc + base + first, h))
         base += len(chunk)
-    doc, h = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    if not len(h):
+    doc, h = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts], axis=1)
+    if not len(doc):
         return blank
     vocab, ids = np.unique(h, return_inverse=True)
-    cells = np.unique(ids.astype(np.int64) * len(y) + doc)
+    ids = ids.reshape(h.shape).astype(np.int64)
+    cells = np.unique(ids * len(y) + doc)
     hit1 = np.bincount(cells // len(y), y[cells % len(y)], len(vocab))
     hit0 = np.bincount(cells // len(y), minlength=len(vocab)) - hit1
     share = (hit1 + hit0) / len(y)
     z = (hit1 / n1 - hit0 / n0) / np.sqrt(np.maximum(share * (1 - share), 0.5 / len(y)) * (1 / n1 + 1 / n0))
-    usable = np.flatnonzero(hit1 + hit0 >= 2)
+    usable = np.flatnonzero((hit1 + hit0 >= 2) & (vocab != 0))
     chosen = np.sort(usable[np.argsort(-np.abs(z[usable]), kind="stable")[:LEXICON]])
-    bad = (z >= 4) & (hit1 / n1 >= 4 * (hit0 + 0.5) / n0)
+    times = np.full(len(vocab), RATIO)
+    times[np.unique(ids[1:])] = RATIO_BEGINNING
+    bad = (z >= 4) & (hit1 / n1 >= times * (hit0 + 0.5) / n0) & (vocab != 0)
     lexicon, v = vocab[chosen], len(chosen)
     place = np.full(len(vocab), v)
     place[chosen] = np.arange(v)
-    target = (bad[ids] & (y[doc] == 1)).astype(float)
+    target = (bad[ids].any(axis=0) & (y[doc] == 1)).astype(float)
     ids = place[ids]
     first = np.r_[True, doc[1:] != doc[:-1]]
     before, after = _shifted(ids, first, v)
@@ -220,10 +233,10 @@ def _fit(texts: pa.ChunkedArray, y: np.ndarray, total: dict[int, int]) -> Model:
     np.add.at(seen, (target[np.r_[0, : len(first) - 1]].astype(int)[inner], target[inner].astype(int)), 1)
     for step in range(1, STEPS + 1):
         bias, start, trans = theta[3 * v + 3], theta[3 * v + 4], theta[3 * v + 5 :].reshape(2, 2)
-        p, pair = _marginals(bias + theta[ids] + theta[v + 1 + before] + theta[2 * v + 2 + after], first, trans, start)
+        p, pair = _marginals(bias + theta[ids].sum(axis=0) + theta[v + 1 + before] + theta[2 * v + 2 + after], first, trans, start)
         err = target - p
         grad = np.concatenate([
-            np.bincount(ids, err, v + 1), np.bincount(before, err, v + 1), np.bincount(after, err, v + 1),
+            np.bincount(ids.ravel(), np.tile(err, len(ids)), v + 1), np.bincount(before, err, v + 1), np.bincount(after, err, v + 1),
             [err.sum(), err[first].sum()], (seen - pair).ravel(),
         ])
         grad[[v, 2 * v + 1, 3 * v + 2]] = 0
@@ -246,6 +259,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str
     more, as (start, end) offsets into the UTF-8 bytes of the whole text. Null and empty texts
     have no spans and get the score of a text without toxic tokens.
     """
+    small_batches(docs.sparkSession)
     names = docs.columns if carry is None else carry
     kept = packed(docs, [c for c in names if c != text_col])
     plain = docs.select(kept.alias("row"), docs[text_col].cast("string").alias("text"))
