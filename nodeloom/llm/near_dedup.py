@@ -3,12 +3,18 @@
 1. Each text becomes its set of k-word shingles, a digest of that set and a SuperMinHash
    signature cut into bands. Documents with equal sets collapse to the smallest id.
 2. Representatives that share a band are candidates. No bucket is ever expanded into its
-   pairs: each bucket gets a centre (its smallest id) and the members meet the centre only.
-3. Candidate pairs are confirmed on the full sets, recomputed from the whole texts.
-4. Confirmed links are merged by union-find. A bucket whose members are then not all in one
-   component goes on with further centres (1, 2, 4, ... a round) that meet those members
-   that are still elsewhere, until each member is in one component with, or was compared
-   with, every other. So nothing is capped and no link between components is lost.
+   pairs: each bucket gets a centre (its smallest id), and each member meets the one centre
+   with which it shares the most bands.
+3. Candidate pairs are confirmed on the full sets, recomputed from the whole texts, and
+   confirmed links are merged by union-find.
+4. Buckets that are not within one component then (copies of copies, candidates that are not
+   near enough) are settled exactly. Their members are bucketed again by the prefix filter:
+   in one order of all shingles, rare ones first, two sets that are near enough share one of
+   the first few, how few depending on both sizes. A set with many shingles of its own shares
+   none and drops out. In each such bucket the texts with the fewest rarer shingles are
+   centres that the members in other components meet; what is left outside the bucket's
+   largest component then meets all members in other components, but for pairs that the
+   place of the shared shingle already rules out. Nothing is capped; no link between components is lost.
 
 With 32 bands of 5 places a pair of similarity 0.8 shares no band with probability 3e-6.
 """
@@ -22,11 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, cut, drop_cut, hot_keys, packed
-from .textops import as_sets, band_keys, blocks, overlaps, set_digests, shingles, super_min_hash, word_hashes, words
+from .common import attach, cut, drop_cut, hot_keys, packed, small_batches
+from .textops import as_sets, band_keys, blocks, mix, overlaps, set_digests, shingle_sets, shingles, super_min_hash, word_hashes, words
 from .union_find import components
 
 BANDS, ROWS = 32, 5
+#: Cells of the sketch that orders shingles; ratio of the sizes in a class.
+SKETCH, CLASS = 1 << 20, 1.05
+#: Centres of a bucket in the rounds before the last.
+STARS = (1, 4)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -83,6 +93,7 @@ def near_groups(
     of which component_id is null and kept is true. Rows that repeat an id are one node. An
     empty table gives an empty result; extra columns travel inside ``row`` only.
     """
+    small_batches(docs.sparkSession)
     sig = cut(signatures(docs, id_col, text_col, k, bands, rows))
     live = sig.where("n > 0 and id is not null")
     reps = live.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
@@ -90,7 +101,9 @@ def near_groups(
     keyed = keyed.select("id", F.explode("bands").alias("key"))
     buckets = cut(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", F.col("lo").alias("centre")))
     members = cut(keyed.join(buckets, "key").select("key", "id", "centre").distinct())
-    pairs = cut(members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
+    shared = members.where("id <> centre").groupBy("id", "centre").agg(F.count(F.lit(1)).alias("bands"))
+    best = shared.groupBy("id").agg(F.max(F.struct("bands", (-F.col("centre")).alias("c"))).alias("best"))
+    pairs = cut(best.select((-F.col("best.c")).alias("a"), F.col("id").alias("b")))
     candidates = members.select("id").distinct()
     texts = cut(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).join(candidates, "id", "left_semi").dropDuplicates(["id"]))
     comp = _linked(members, pairs, texts, k, percent)
@@ -108,45 +121,123 @@ def near_groups(
     return out.select("row", "id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _size_class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(CLASS) + 1e-9).astype(np.int64)
+
+
+def _class_start(c: np.ndarray) -> np.ndarray:
+    """A lower bound of the sizes in a class."""
+    return np.maximum(1, np.floor(CLASS**c - 1e-6)).astype(np.int64)
+
+
+def prefix_buckets(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(key, id): two texts with ``percent`` similarity or more share a key.
+
+    Shingles are ordered by how often they occur in ``texts``, as counted in a sketch of SKETCH
+    cells (which may only put a shingle later than it deserves), then by hash. A set of size n
+    and one of size s that are near enough share at least t = percent (n + s) / (100 + percent)
+    shingles, so one of the first n - t + 1 of the one is one of the first s - t + 1 of the
+    other. Keys hold a shingle and the two classes of sizes. Keys of one text, or of texts of
+    one class where two are asked for, are left out. ``n`` and ``rank`` are the set's size
+    and how many of its shingles come before this one.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for _, _, _, got in shingle_sets(batch.column(1), k):
+                cells += np.bincount((got % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+        full = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(cells[full])], ["cell", "n"])
+
+    counted = texts.select("id", "text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    sketch = np.zeros(SKETCH, np.int64)
+    sketch[counted["cell"].to_numpy()] = counted["n"].to_numpy()
+    often = texts.sparkSession.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for first, n_docs, docs, got in shingle_sets(batch.column(1), k):
+                seen = often.value[(got % np.uint64(SKETCH)).astype(np.int64)]
+                order = np.lexsort((got, seen, docs))
+                docs, got, seen = docs[order], got[order], seen[order]
+                n = np.bincount(docs, minlength=n_docs)
+                rank = np.arange(len(docs)) - (np.cumsum(n) - n)[docs]
+                single = np.bincount(docs[seen == 1], minlength=n_docs)  # certainly in no other text
+                own, least, most = _size_class(n), -(-percent * n // 100), n * 100 // percent
+                low, high = _size_class(least), _size_class(most)
+                for step in range(-int((own - low).max(initial=0)), int((high - own).max(initial=0)) + 1):
+                    other = own + step
+                    s = np.maximum(_class_start(other), least)
+                    t = -(-percent * (n + s) // (100 + percent))
+                    prefix = np.where((other >= low) & (other <= high) & (n - single >= t), n - t + 1, 0)
+                    take = (rank < prefix[docs]) & (seen > 1)
+                    of = docs[take]
+                    lo, hi = np.minimum(own, other)[of], np.maximum(own, other)[of]
+                    key = mix(got[take] + mix((lo * 4096 + hi).astype(np.uint64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[first + of]), pa.array(np.full(len(of), np.sign(step), np.int32)), pa.array(n[of].astype(np.int32)), pa.array(rank[take].astype(np.int32))], ["key", "id", "side", "n", "rank"])
+
+    keys = texts.select("id", "text").mapInArrow(emit, "key long, id long, side int, n int, rank int")
+    shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("side").alias("small"), F.max("side").alias("large"))
+    shared = shared.where("lo < hi and (small < large or small = 0)").select("key")
+    return keys.join(shared, "key", "left_semi").select("key", "id", "n", "rank")
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """Keys of buckets (key, id, component) that are not within one component."""
+    return placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+
+
+def _placed(members: DataFrame, comp: DataFrame) -> DataFrame:
+    return members.join(comp, members["id"] == comp["node"], "left").select(*members.columns, F.coalesce("component", "id").alias("component"))
+
+
+def _pairs(centres: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs in different components that the place of a shared shingle does not rule out.
+
+    The first shingle that two sets share is followed by all others that they share, so these
+    are no more than what is left of either set there.
+    """
+    side = centres.select("key", F.col("id").alias("centre"), F.col("component").alias("of"), F.col("n").alias("cn"), F.col("rank").alias("cr"))
+    possible = F.expr(f"component <> of and least(n - rank, cn - cr) * {100 + percent}L >= {percent}L * (n + cn)")
+    return members.join(side, "key").where(possible).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+
+
 def _linked(members: DataFrame, pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, component) over all links among the members of each bucket."""
-    spark = members.sparkSession
-    links = verified(pairs, texts, k, percent)
-    comp = cut(components(links))
-    tested = pairs
-    done = members.select("key", F.col("centre").alias("id")).distinct()
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 2").select("key")
-    left = members.select("key", "id").join(sizes, "key", "left_semi")
-    ways = 1
-    while True:
-        # Members of buckets that are not within one component, with what was compared before.
-        placed = left.join(comp, left["id"] == comp["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        fresh = placed.join(done, ["key", "id"], "left_anti")
-        state = (
-            placed.groupBy("key").agg((F.min("component") != F.max("component")).alias("open"))
-            .where("open").select("key")
-            .join(fresh.groupBy("key").agg(F.count(F.lit(1)).alias("fresh")).where("fresh > 1"), "key", "left_semi")
-        )
-        left_now = cut(placed.join(state, "key", "left_semi"))
-        if left_now.isEmpty():
-            drop_cut(left_now)
-            return comp
-        fresh = left_now.join(done, ["key", "id"], "left_anti")
-        centres = cut(fresh.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(ways)).alias("way")).agg(F.min(F.struct("id", "component")).alias("c")).select("key", F.col("c.id").alias("centre"), F.col("c.component").alias("of")))
-        more = left_now.join(centres, "key").where("component <> of").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-        more = cut(more.join(tested, ["a", "b"], "left_anti"))
+    comp = cut(components(verified(pairs, texts, k, percent)))
+    # A bucket of two has had its only pair compared.
+    large = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 2").select("key")
+    placed = cut(_placed(members.select("key", "id").join(large, "key", "left_semi"), comp))
+    doubtful = cut(placed.join(_open(placed), "key", "left_semi").select("id").distinct())
+    drop_cut(placed)
+    if doubtful.isEmpty():
+        return comp
+    left, tested = cut(prefix_buckets(texts.join(doubtful, "id", "left_semi"), k, percent)), pairs
+    for ways in (*STARS, 0):
+        placed = _placed(left.select("key", "id", "n", "rank"), comp)
+        now = cut(placed.join(_open(placed), "key", "left_semi"))
+        drop_cut(left)
+        left = now
+        if left.isEmpty():
+            break
+        if ways:
+            way = F.pmod(F.xxhash64("id", F.lit(ways)), F.lit(ways)).alias("way")
+            centres = left.groupBy("key", way).agg(F.min(F.struct("rank", "id", "n", "component")).alias("c")).select("key", "c.*")
+        else:
+            most = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"))
+            centres = left.join(most.select("key", F.col("most.component").alias("main")), "key").where("component <> main").drop("main")
+        more = cut(_pairs(centres, left, percent).join(tested, ["a", "b"], "left_anti"))
+        tested = tested.union(more)
         found = cut(verified(more, texts, k, percent))
         if not found.isEmpty():
             joined = components(_between(found, comp))
             grown = comp.join(joined.withColumnRenamed("component", "to").withColumnRenamed("node", "component"), "component", "left")
             grown = grown.select("node", F.coalesce("to", "component").alias("component"))
-            lone = joined.join(comp, "node", "left_anti")
-            comp, old = cut(grown.union(lone)), comp
+            comp, old = cut(grown.union(joined.join(comp, "node", "left_anti"))), comp
             drop_cut(old)
-        tested = tested.union(more)
-        done = done.union(centres.select("key", F.col("centre").alias("id")))
-        left = left_now.select("key", "id")
-        ways = min(64, ways * 2)
+    return comp
 
 
 def _between(links: DataFrame, comp: DataFrame) -> DataFrame:
