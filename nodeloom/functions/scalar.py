@@ -172,7 +172,7 @@ def keys(v: Value) -> Value:
     names = property_names(v.type)
     if k == "map":
         return Value(F.when(v.col.isNotNull(), F.array(*[F.lit(n) for n in names]).cast("array<string>")), T.ArrayType(STRING))
-    held = F.array_compact(F.array(*[F.when(v.col[n].isNotNull(), F.lit(n)) for n in names]).cast("array<string>"))
+    held = F.array_compact(F.array(*[F.when(v.col[n].isNotNull(), F.lit(n.removeprefix("."))) for n in names]).cast("array<string>"))
     return Value(F.when(v.col.isNotNull(), held), T.ArrayType(STRING))
 
 
@@ -186,8 +186,8 @@ def properties(v: Value) -> Value:
     if k in ("map", "null"):
         return v
     names = property_names(v.type)
-    t = T.StructType([v.type[n] for n in names])
-    return Value(F.when(v.col.isNotNull(), F.struct(*[v.col[n].alias(n) for n in names])), t)
+    t = T.StructType([T.StructField(n.removeprefix("."), v.type[n].dataType) for n in names])
+    return Value(F.when(v.col.isNotNull(), F.struct(*[v.col[n].alias(n.removeprefix(".")) for n in names])), t)
 
 
 def part(name: str, *kinds: str, type_: T.DataType | None = None):

@@ -14,6 +14,16 @@ DEFAULT_LAYERS = (OBSERVED, KNOWLEDGE)
 #: Columns that are no properties.
 NODE_SYSTEM = ("id", "layer", "revision", "labels")
 REL_SYSTEM = ("id", "src", "dst", "layer", "revision")
+SYSTEM = {*NODE_SYSTEM, *REL_SYSTEM, "type"}
+
+
+def column_of(prop: str) -> str:
+    """The column of a property: its name, with a dot in front if a system column has that name."""
+    return f".{prop}" if prop in SYSTEM else prop
+
+
+def prop_of(column: str) -> str:
+    return column.removeprefix(".")
 
 
 def widened(df: DataFrame) -> DataFrame:

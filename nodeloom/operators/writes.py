@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import temporal as TF
 from ..functions.scalar import properties
 from ..lineage import stored
-from ..model import KNOWLEDGE, NODE_SYSTEM, REL_SYSTEM, NodeTable, RelTable
+from ..model import KNOWLEDGE, NodeTable, RelTable, column_of
 from ..plans.tree import Clause, Expr, NodePattern, PathPattern, QueryError
 from ..plans.values import LONG, kind, to
 
@@ -56,11 +56,11 @@ def create_path(ctx, rows, p: PathPattern):
             raise QueryError("a node of KNOWLEDGE needs a name")
         uid = ctx.uid(n.var)
         held = [(k, v) for k, v in values if kind(v.type) != "null"]
-        df = rows.df.withColumns({f"{uid}.id": F.monotonically_increasing_id() + _next_id(ctx, "node"), f"{uid}.revision": F.lit(1).cast("long")} | {f"{uid}.{k}": v.col for k, v in held})
+        df = rows.df.withColumns({f"{uid}.id": F.monotonically_increasing_id() + _next_id(ctx, "node"), f"{uid}.revision": F.lit(1).cast("long")} | {f"{uid}.p.{k}": v.col for k, v in held})
         df = stored(df)
-        new = df.select(col(f"{uid}.id").alias("id"), F.lit(ctx.write_layer).cast("tinyint").alias("layer"), *[col(f"{uid}.{k}").alias(k) for k, _ in held])
+        new = df.select(col(f"{uid}.id").alias("id"), F.lit(ctx.write_layer).cast("tinyint").alias("layer"), *[col(f"{uid}.p.{k}").alias(column_of(k)) for k, _ in held])
         ctx.graph = ctx.graph.with_(nodes=(*ctx.graph.nodes, NodeTable(frozenset(n.labels), new)))
-        cols = {"id": (f"{uid}.id", LONG), "labels": (f"{uid}.labels", T.ArrayType(T.StringType())), "revision": (f"{uid}.revision", LONG)} | {f".{k}": (f"{uid}.{k}", v.type) for k, v in held}
+        cols = {"id": (f"{uid}.id", LONG), "labels": (f"{uid}.labels", T.ArrayType(T.StringType())), "revision": (f"{uid}.revision", LONG)} | {f".{k}": (f"{uid}.p.{k}", v.type) for k, v in held}
         df = df.withColumn(f"{uid}.labels", F.array(*[F.lit(x) for x in sorted(n.labels)]).cast("array<string>"))
         rows = Rows(df, {**rows.env, n.var: Bound("node", cols, frozenset(n.labels))})
         made = new.count()
@@ -75,10 +75,10 @@ def create_path(ctx, rows, p: PathPattern):
         held = [(k, v) for k, e in r.props if kind((v := comp(e)).type) != "null"]
         uid = ctx.uid(r.var)
         src, dst = (rows.env[n.var].cols["id"][0] for n in (a, b))
-        df = stored(rows.df.withColumns({f"{uid}.id": F.monotonically_increasing_id() + _next_id(ctx, "rel"), f"{uid}.src": col(src), f"{uid}.dst": col(dst)} | {f"{uid}.{k}": v.col for k, v in held}))
-        new = df.select(*[col(f"{uid}.{k}").alias(k) for k in ("id", "src", "dst")], F.lit(ctx.write_layer).cast("tinyint").alias("layer"), *[col(f"{uid}.{k}").alias(k) for k, _ in held])
+        df = stored(rows.df.withColumns({f"{uid}.id": F.monotonically_increasing_id() + _next_id(ctx, "rel"), f"{uid}.src": col(src), f"{uid}.dst": col(dst)} | {f"{uid}.p.{k}": v.col for k, v in held}))
+        new = df.select(*[col(f"{uid}.{k}").alias(k) for k in ("id", "src", "dst")], F.lit(ctx.write_layer).cast("tinyint").alias("layer"), *[col(f"{uid}.p.{k}").alias(column_of(k)) for k, _ in held])
         ctx.graph = ctx.graph.with_(rels=(*ctx.graph.rels, RelTable(r.types[0], new)))
-        cols = {k: (f"{uid}.{k}", LONG) for k in ("id", "src", "dst")} | {"type": (f"{uid}.type", T.StringType()), "revision": (f"{uid}.revision", LONG)} | {f".{k}": (f"{uid}.{k}", v.type) for k, v in held}
+        cols = {k: (f"{uid}.{k}", LONG) for k in ("id", "src", "dst")} | {"type": (f"{uid}.type", T.StringType()), "revision": (f"{uid}.revision", LONG)} | {f".{k}": (f"{uid}.p.{k}", v.type) for k, v in held}
         df = df.withColumns({f"{uid}.type": F.lit(r.types[0]), f"{uid}.revision": F.lit(1).cast("long")})
         rows = Rows(df, {**rows.env, r.var: Bound("rel", cols, frozenset(r.types))})
         made = new.count()
@@ -159,7 +159,7 @@ def _with(t, df: DataFrame, labels=None):
 
 
 def _put(t, updates: DataFrame, prop: str, type_: T.DataType):
-    """The table with a property's new values (id, new) where there are any."""
+    """The table with new values (id, new) of a property's column where there are any."""
     df = t.df.join(updates.select(F.col("id").alias("_u"), F.col("new").alias("_new")), F.col("id") == F.col("_u"), "left")
     hit = F.col("_u").isNotNull()
     if prop in t.df.columns:
@@ -211,7 +211,7 @@ def set(ctx, rows, c: Clause):  # noqa: A001
             if what == "prop" and item[4] is not None:
                 _sample(ctx, rows, b, prop, v, comp(item[4]))
                 continue
-            _update(ctx, b.kind, b.known, lambda t, u=updates, p=prop, ty=v.type: _put(t, u, p, ty))
+            _update(ctx, b.kind, b.known, lambda t, u=updates, p=column_of(prop), ty=v.type: _put(t, u, p, ty))
             _count(ctx, "properties_set", updates.count())
             name = ctx.uid(f"{var}.{prop}")
             shown = rows.df.withColumn(name, to(v, v.type) if kind(v.type) != "null" else F.lit(None).cast("string"))
@@ -286,4 +286,4 @@ def delete(ctx, rows, c: Clause):
     return rows
 
 
-__all__ = ["create", "merge", "set", "remove", "delete", "NODE_SYSTEM", "REL_SYSTEM", "Column"]
+__all__ = ["create", "merge", "set", "remove", "delete"]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import AGGREGATES
-from ..model import LAYERS, Graph
+from ..model import LAYERS, SYSTEM, Graph, column_of, prop_of
 from ..operators.paths import Expansion, expand, select_paths
 from .expressions import Compiler, Ref
 from .parser import parse
@@ -53,8 +53,9 @@ class Bound:
     def value(self) -> Value:
         t, parts, fields = (NodeT if self.kind == "node" else RelT), [], []
         for key, (c, ct) in self.cols.items():
-            parts.append(col(c).alias(key.lstrip(".")))
-            fields.append(T.StructField(key.lstrip("."), ct))
+            name = key[1:] if key.startswith(".") and key[1:] not in SYSTEM else key
+            parts.append(col(c).alias(name))
+            fields.append(T.StructField(name, ct))
         return Value(F.when(col(self.cols["id"][0]).isNotNull(), F.struct(*parts)), t(fields))
 
     @property
@@ -98,15 +99,15 @@ class Context:
     def node_scan(self, labels) -> DataFrame:
         df = self.graph.node_scan(labels)
         for (what, label, prop), samples in self.graph.samples.items():
-            if what == "node" and prop in df.columns:
-                df = self.as_of(df, samples, prop, F.array_contains("labels", label))
+            if what == "node" and column_of(prop) in df.columns:
+                df = self.as_of(df, samples, column_of(prop), F.array_contains("labels", label))
         return df
 
     def rel_scan(self, types) -> DataFrame:
         df = self.graph.rel_scan(types)
         for (what, type_, prop), samples in self.graph.samples.items():
-            if what == "rel" and prop in df.columns:
-                df = self.as_of(df, samples, prop, F.col("type") == type_)
+            if what == "rel" and column_of(prop) in df.columns:
+                df = self.as_of(df, samples, column_of(prop), F.col("type") == type_)
         return df
 
     def as_of(self, df: DataFrame, samples: DataFrame, prop: str, where: Column) -> DataFrame:
@@ -261,7 +262,7 @@ class Context:
         cols, out = {}, []
         for f in df.schema.fields:
             name = f"{uid}.{f.name}"
-            cols[f.name if f.name in system else "." + f.name] = (name, f.dataType)
+            cols[f.name if f.name in system else "." + prop_of(f.name)] = (name, f.dataType)
             out.append(df[f"`{f.name}`"].alias(name))
         return df.select(*out), Bound(what, cols, frozenset(known))
 
@@ -305,7 +306,7 @@ class Context:
             raise QueryError(f"{var} is no node")
         for f in t.fields:
             rows.df = rows.df.withColumn(f"{name}.{f.name}", col(name)[f.name])
-        return Bound("node", {f.name if f.name in ("id", "labels", "revision") else "." + f.name: (f"{name}.{f.name}", f.dataType) for f in t.fields})
+        return Bound("node", {f.name if f.name in ("id", "labels", "revision") else "." + prop_of(f.name): (f"{name}.{f.name}", f.dataType) for f in t.fields})
 
     def join_node(self, rows: Rows, n: NodePattern, id_col: str, certain: str | None) -> Rows:
         """Bind the node whose id is in a column of rows."""
@@ -367,6 +368,7 @@ class Context:
         uid = self.uid(r.var or "r")
         scan = self.rel_scan(r.types)
         for key, e in r.props:
+            key = column_of(key)
             scan = scan.where(equal(Value(scan[f"`{key}`"], scan.schema[key].dataType), Compiler({}, self.params)(e)))
         struct = F.struct(*[scan[f"`{c}`"] for c in scan.columns])
         out = scan.select(F.col("src").alias("near"), F.col("dst").alias("far"), "id", struct.alias("rel"))
@@ -435,7 +437,7 @@ class Context:
         node_t, rel_t = NodeT(all_nodes.fields), RelT(all_rels.fields)
 
         def aligned(b: Bound, t) -> Column:
-            parts = [(col(b.cols[k][0]).cast(f.dataType) if (k := (f.name if f.name in b.cols else "." + f.name)) in b.cols else F.lit(None).cast(f.dataType)).alias(f.name) for f in t.fields]
+            parts = [(col(b.cols[k][0]).cast(f.dataType) if (k := (f.name if f.name in b.cols else "." + prop_of(f.name))) in b.cols else F.lit(None).cast(f.dataType)).alias(f.name) for f in t.fields]
             return F.struct(*parts)
 
         def restruct(c: Column, have: T.DataType, t) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalar, temporal
+from ..model import column_of
 from .tree import Expr, QueryError
 from .values import BOOL, DOUBLE, DURATION, LONG, NULL, STRING, NodeT, RelT, Value, common, compare, equal, is_int, kind, null, order_key, to
 
@@ -40,8 +41,8 @@ def property_of(v: Value, name: str) -> Value:
     if k in temporal.KINDS or k == "duration":
         return temporal.accessor(v, name) or null()
     if k in ("node", "relationship"):
-        names = scalar.property_names(v.type)
-        return Value(v.col[name], v.type[name].dataType) if name in names else null()
+        field = column_of(name)
+        return Value(v.col[field], v.type[field].dataType) if field in scalar.property_names(v.type) else null()
     return Value(v.col[name], v.type[name].dataType) if isinstance(v.type, T.StructType) and name in v.type.names else null()
 
 
