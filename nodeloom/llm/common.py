@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,14 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(name, rows)
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system: workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def packed(df: DataFrame, columns: list[str] | None = None) -> Column:
     """The named columns (all, if none) as one struct, so no name of theirs can clash."""
     names = df.columns if columns is None else columns

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, small_batches
+from .common import give_back, packed, small_batches
 from .textops import blocks, word_hashes, words
 
 SAMPLE = 3000
@@ -39,6 +39,8 @@ BEGINNINGS = (4, 6, 8)
 RATIO, RATIO_BEGINNING = 4, 8
 STEPS = 60
 WIDTH = 64
+#: Tokens, about, that a step of the training takes at once.
+CHUNK = 100_000
 
 _FOLD = np.full(256, 0x20, np.uint8)
 for _b in (*range(48, 58), *range(97, 123), *range(128, 256)):
@@ -220,9 +222,18 @@ def _fit(texts: pa.ChunkedArray, y: np.ndarray, total: dict[int, int]) -> Model:
     place = np.full(len(vocab), v)
     place[chosen] = np.arange(v)
     target = (bad[ids].any(axis=0) & (y[doc] == 1)).astype(float)
-    ids = place[ids]
+    ids = place[ids].astype(np.int32)
     first = np.r_[True, doc[1:] != doc[:-1]]
-    before, after = _shifted(ids, first, v)
+    # Chunks of whole documents, so that a step's arrays stay small.
+    heads, cuts = np.flatnonzero(first), [0]
+    for at in heads[1:]:
+        if at - cuts[-1] > CHUNK:
+            cuts.append(int(at))
+    chunks = []
+    for lo, hi in zip(cuts, [*cuts[1:], len(doc)], strict=True):
+        before, after = _shifted(ids[:, lo:hi], first[lo:hi], v)
+        chunks.append((slice(lo, hi), ids[:, lo:hi], before.astype(np.int32), after.astype(np.int32), first[lo:hi], target[lo:hi]))
+    del h, cells, vocab
     # theta: own, before, after (each with the weight of other words, held at 0), bias, start, transitions
     size = 3 * (v + 1) + 2 + 4
     theta, m1, m2 = np.zeros(size), np.zeros(size), np.zeros(size)
@@ -233,12 +244,18 @@ def _fit(texts: pa.ChunkedArray, y: np.ndarray, total: dict[int, int]) -> Model:
     np.add.at(seen, (target[np.r_[0, : len(first) - 1]].astype(int)[inner], target[inner].astype(int)), 1)
     for step in range(1, STEPS + 1):
         bias, start, trans = theta[3 * v + 3], theta[3 * v + 4], theta[3 * v + 5 :].reshape(2, 2)
-        p, pair = _marginals(bias + theta[ids].sum(axis=0) + theta[v + 1 + before] + theta[2 * v + 2 + after], first, trans, start)
-        err = target - p
-        grad = np.concatenate([
-            np.bincount(ids.ravel(), np.tile(err, len(ids)), v + 1), np.bincount(before, err, v + 1), np.bincount(after, err, v + 1),
-            [err.sum(), err[first].sum()], (seen - pair).ravel(),
-        ])
+        grad = np.zeros(size)
+        grad[3 * v + 5 :] = seen.ravel()
+        for _, own, before, after, heads, goal in chunks:
+            p, pair = _marginals(bias + theta[own].sum(axis=0) + theta[v + 1 + before] + theta[2 * v + 2 + after], heads, trans, start)
+            err = goal - p
+            for row in own:
+                grad[: v + 1] += np.bincount(row, err, v + 1)
+            grad[v + 1 : 2 * v + 2] += np.bincount(before, err, v + 1)
+            grad[2 * v + 2 : 3 * v + 3] += np.bincount(after, err, v + 1)
+            grad[3 * v + 3] += err.sum()
+            grad[3 * v + 4] += err[heads].sum()
+            grad[3 * v + 5 :] -= pair.ravel()
         grad[[v, 2 * v + 1, 3 * v + 2]] = 0
         grad[3 * v + 5] = 0  # plain to plain: the scale that the others are relative to
         grad -= 0.2 * theta
@@ -246,7 +263,7 @@ def _fit(texts: pa.ChunkedArray, y: np.ndarray, total: dict[int, int]) -> Model:
         theta += 0.25 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-3)
     model.own, model.before, model.after = theta[: v + 1].copy(), theta[v + 1 : 2 * v + 2].copy(), theta[2 * v + 2 : 3 * v + 3].copy()
     model.bias, model.start, model.trans = float(theta[3 * v + 3]), float(theta[3 * v + 4]), theta[3 * v + 5 :].reshape(2, 2).copy()
-    p, _ = _marginals(_evidence(model, ids, first), first, model.trans, model.start)
+    p = np.concatenate([_marginals(_evidence(model, c[1], c[4]), c[4], model.trans, model.start)[0] for c in chunks])
     weight = np.where(y == 1, total[1] / n1, total[0] / n0)
     model.scale = _logistic(_sums(p, doc, len(y)), y, weight / weight.mean())
     return model
@@ -280,6 +297,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str
                 ends = np.r_[0, np.cumsum(np.bincount(of, minlength=n))].astype(np.int32)
                 own = [batch.column(0).slice(i, n)] + ([batch.column(1).slice(i, n)] if text_col in names else [])
                 yield pa.RecordBatch.from_arrays([*own, pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30)))), pa.ListArray.from_arrays(pa.array(ends), spans)], schema.names)
+        give_back()
 
     return plain.mapInArrow(tag, schema)
 
