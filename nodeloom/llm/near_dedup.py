@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, cut, drop_cut, hot_keys, packed, small_batches
+from .common import attach, cut, drop_cut, give_back, hot_keys, packed, small_batches
 from .textops import as_sets, band_keys, blocks, mix, overlaps, set_digests, shingle_sets, shingles, super_min_hash, word_hashes, words
 from .union_find import components
 
@@ -56,6 +56,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int =
                     "id": batch.column(0).slice(first, n), "n": pa.array(size.astype(np.int64)), "d1": pa.array(one.view(np.int64)),
                     "d2": pa.array(two.view(np.int64)), "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[full].ravel().view(np.int64))),
                 })
+        give_back()
 
     plain = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     return plain.mapInArrow(sign, "id long, n long, d1 long, d2 long, bands array<long>")
@@ -76,6 +77,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
                 good = pa.array((100 * both >= percent * either) & (both > 0))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(good)
                 i = j
+        give_back()
 
     sides = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     return sides.select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long")
@@ -177,6 +179,7 @@ def prefix_buckets(texts: DataFrame, k: int, percent: int) -> DataFrame:
                     lo, hi = np.minimum(own, other)[of], np.maximum(own, other)[of]
                     key = mix(got[take] + mix((lo * 4096 + hi).astype(np.uint64)))
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[first + of]), pa.array(np.full(len(of), np.sign(step), np.int32)), pa.array(n[of].astype(np.int32)), pa.array(rank[take].astype(np.int32))], ["key", "id", "side", "n", "rank"])
+        give_back()
 
     keys = texts.select("id", "text").mapInArrow(emit, "key long, id long, side int, n int, rank int")
     shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("side").alias("small"), F.max("side").alias("large"))

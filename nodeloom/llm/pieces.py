@@ -30,11 +30,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed
+from .common import give_back, packed, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-KEEP_CHUNKS, KEEP_JUNCTIONS, KEEP_LENGTH = 400_000, 1_500_000, 32
+KEEP_CHUNKS, KEEP_JUNCTIONS, KEEP_LENGTH = 200_000, 500_000, 32
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in the file
 UNIGRAM, BPE = 1, 2
@@ -241,6 +241,7 @@ def encoded(docs: DataFrame, text_col: str = "text", carry: list[str] | None = N
     tokens, and round_trip is true. Extra columns travel inside ``row`` only. Texts are encoded
     whole, whatever their length.
     """
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model_bytes(docs, model))
     plain = docs.select(packed(docs, carry).alias("row"), docs[text_col].cast("string").alias("text"))
     schema = plain.select("row", F.expr("cast(array() as array<int>)").alias("token_ids"), F.lit(0).alias("n_tokens"), F.lit(True).alias("round_trip")).schema
@@ -261,6 +262,7 @@ def encoded(docs: DataFrame, text_col: str = "text", carry: list[str] | None = N
                     plain_text = pc.binary_join_element_wise(pc.if_else(pc.equal(pc.binary_length(plain_text), 0), b"", b" "), plain_text, b"")
                 same = pc.equal(back, plain_text)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 256), lists, pa.array(size), same], schema.names)
+        give_back()
 
     return plain.mapInArrow(run, schema)
 
