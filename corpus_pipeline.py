@@ -33,8 +33,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, token_ids, n_tokens, round_trip of each document."""
-    got = encoded(docs, carry=["doc_id", "lang", "source"])
+    """doc_id, lang, source, token_ids, n_tokens, round_trip of each document.
+
+    Workers serve the other stages as well, so they keep less than where they only encode.
+    """
+    got = encoded(docs, carry=["doc_id", "lang", "source"], keep=(200_000, 500_000))
     return got.select("row.doc_id", "row.lang", "row.source", "token_ids", "n_tokens", "round_trip")
 
 

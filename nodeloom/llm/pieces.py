@@ -34,7 +34,8 @@ from .common import give_back, packed, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-KEEP_CHUNKS, KEEP_JUNCTIONS, KEEP_LENGTH = 200_000, 500_000, 32
+#: Paths of chunks (twice as many at most) and junctions that a worker keeps, about 300 MB; the longest chunk kept.
+KEEP, KEEP_LENGTH = (400_000, 1_500_000), 32
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in the file
 UNIGRAM, BPE = 1, 2
@@ -68,7 +69,8 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Transducer:
     """The compiled machines of one model file."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, keep: tuple[int, int] = KEEP):
+        self.keep_chunks, self.keep_junctions = keep
         self.pieces: list[str] = []
         self.scores: list[float] = []
         kinds: list[int] = []
@@ -138,7 +140,7 @@ class Transducer:
         key = a * 1_048_576 + b
         got = self.junctions.get(key)
         if got is None:
-            if len(self.junctions) >= KEEP_JUNCTIONS:
+            if len(self.junctions) >= self.keep_junctions:
                 self.junctions.clear()
             x, y = self.pieces[a] if a >= 0 else "", self.pieces[b]
             got = self.junctions[key] = self.merged(x + y) == ([x, y] if x else [y])
@@ -189,7 +191,7 @@ class Transducer:
     def _path(self, chunk: str) -> bytes:
         got = self.older.get(chunk) or np.array(self.shortest(chunk), "<i4").tobytes()
         if len(chunk) <= KEEP_LENGTH:
-            if len(self.paths) >= KEEP_CHUNKS:
+            if len(self.paths) >= self.keep_chunks:
                 self.older, self.paths = self.paths, {}
             self.paths[chunk] = got
         return got
@@ -221,9 +223,9 @@ class Transducer:
 
 
 @lru_cache(maxsize=2)
-def transducer(model: bytes) -> Transducer:
+def transducer(model: bytes, keep: tuple[int, int] = KEEP) -> Transducer:
     """The machines of a model file's bytes, compiled once in each process."""
-    return Transducer(model)
+    return Transducer(model, keep)
 
 
 def model_bytes(docs: DataFrame, path: str) -> bytes:
@@ -234,12 +236,12 @@ def model_bytes(docs: DataFrame, path: str) -> bytes:
         return f.read()
 
 
-def encoded(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, model: str = MODEL) -> DataFrame:
+def encoded(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, model: str = MODEL, keep: tuple[int, int] = KEEP) -> DataFrame:
     """``row`` (struct of the columns ``carry``, all by default), ``token_ids``, ``n_tokens``, ``round_trip``.
 
     round_trip says that decoding the ids gave the very text. Null and empty texts have no
     tokens, and round_trip is true. Extra columns travel inside ``row`` only. Texts are encoded
-    whole, whatever their length.
+    whole, whatever their length. ``keep`` bounds a worker's memory, not the results.
     """
     small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model_bytes(docs, model))
@@ -247,7 +249,7 @@ def encoded(docs: DataFrame, text_col: str = "text", carry: list[str] | None = N
     schema = plain.select("row", F.expr("cast(array() as array<int>)").alias("token_ids"), F.lit(0).alias("n_tokens"), F.lit(True).alias("round_trip")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer(shipped.value)
+        machine = transducer(shipped.value, keep)
         surface = pa.array(machine.surface, pa.binary())
         for batch in batches:
             for i in range(0, len(batch), 256):
