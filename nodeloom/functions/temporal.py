@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +12,6 @@ from ..plans.values import DATE, DURATION, LDT, LONG, LTIME, NULL, STRING, TEMPO
 NS = 1_000_000_000
 DAY = 86_400 * NS
 KINDS = ("date", "localdatetime", "localtime", "time", "datetime")
-_SYSTEM = {"long": "long"}
 
 
 def _long(c: Column) -> Column:
@@ -49,8 +48,9 @@ def day_nanos(v: Value) -> Column:
 
 
 def _micros(ntz: Column) -> Column:
-    """Microseconds since 1970 of a local time, taken as UTC (the session's zone)."""
-    return F.unix_micros(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.convert_timezone(F.lit("UTC"), F.current_timezone(), ntz)).cast("timestamp")) if False else F.unix_micros(F.to_timestamp_ltz(F.concat(F.date_format(ntz, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("Z"))))
+    """Microseconds since 1970 of a local time, taken as UTC (``ntz`` is named once, so nesting stays small)."""
+    zone = SparkSession.active().conf.get("spark.sql.session.timeZone")
+    return F.unix_micros((ntz if zone == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(zone), ntz)).cast("timestamp"))
 
 
 def epoch_nanos(v: Value) -> Column:
@@ -69,6 +69,11 @@ def epoch_nanos(v: Value) -> Column:
     raise QueryError(f"{kind(v.type)} is no instant")
 
 
+def once(c: Column, f) -> Column:
+    """f of a column that f names often: bound as a variable, so the tree grows by one copy only."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 # Text.
 
 
@@ -77,7 +82,7 @@ def _two(c: Column, n: int = 2) -> Column:
 
 
 def _clock(nanos: Column) -> Column:
-    s, f = F.expr("1") * 0 + F.floor(nanos / NS).cast("long"), F.pmod(nanos, F.lit(NS))
+    s, f = F.floor(nanos / NS).cast("long"), F.pmod(nanos, F.lit(NS))
     base = F.concat(_two(F.floor(s / 3600)), F.lit(":"), _two(F.floor(F.pmod(s, F.lit(3600)) / 60)))
     seconds = F.concat(F.lit(":"), _two(F.pmod(s, F.lit(60))))
     fraction = F.when(f == 0, "").otherwise(F.concat(F.lit("."), F.regexp_replace(_two(f, 9), "0+$", "")))
@@ -91,9 +96,13 @@ def _offset(seconds: Column) -> Column:
 
 def text_of(v: Value) -> Column:
     """ISO text of temporal values, plain text of others."""
+    if kind(v.type) in ("duration", "datetime", "time", "localtime", "localdatetime"):
+        return F.when(v.col.isNotNull(), once(v.col, lambda c: _text(Value(c, v.type))))
+    return F.date_format(v.col, "yyyy-MM-dd") if kind(v.type) == "date" else v.col.cast("string")
+
+
+def _text(v: Value) -> Column:
     k, c = kind(v.type), v.col
-    if k == "date":
-        return F.date_format(c, "yyyy-MM-dd")
     if k == "localtime":
         return _clock(c["day_nanos"])
     if k == "time":
@@ -111,14 +120,14 @@ def text_of(v: Value) -> Column:
         def part(n: Column, letter: str) -> Column:
             return F.when(n != 0, F.concat(n.cast("string"), F.lit(letter))).otherwise("")
 
-        y, mo = F.expr("0").cast("long") + (months / 12).cast("long"), F.try_mod(months, F.lit(12).cast("long"))
+        y, mo = (months / 12).cast("long"), F.try_mod(months, F.lit(12).cast("long"))
         h, mi, s = (seconds / 3600).cast("long"), (F.try_mod(seconds, F.lit(3600).cast("long")) / 60).cast("long"), F.try_mod(seconds, F.lit(60).cast("long"))
         fraction = F.when(nanos == 0, "").otherwise(F.concat(F.lit("."), F.regexp_replace(_two(F.abs(nanos), 9), "0+$", "")))
         sec = F.when((s != 0) | (nanos != 0), F.concat(s.cast("string"), fraction, F.lit("S"))).otherwise("")
         clock = F.concat(part(h, "H"), part(mi, "M"), sec)
         body = F.concat(part(y, "Y"), part(mo, "M"), part(days, "D"), F.when(clock == "", "").otherwise(F.concat(F.lit("T"), clock)))
-        return F.when(c.isNotNull(), F.concat(F.lit("P"), F.when(body == "", "T0S").otherwise(body)))
-    return c.cast("string")
+        return F.concat(F.lit("P"), once(body, lambda b: F.when(b == "", "T0S").otherwise(b)))
+    raise QueryError(f"no text of {k}")
 
 
 # Constructors.
@@ -361,22 +370,28 @@ def between(a: Value, b: Value, unit: str) -> Value:
         return null(DURATION)
     x, y = _instants(a, b)
     zero = F.lit(0).cast("long")
-    whole = _micros(y) - _micros(x)
-    if unit == "seconds":
-        s = (whole / 1_000_000).cast("long")
-        return Value(make_duration(zero + s * 0, zero, zero, whole * 1000), DURATION)
-    if unit == "days":
-        return Value(F.when(whole.isNotNull(), make_duration(zero, (whole / 86_400_000_000).cast("long"), zero, zero)), DURATION)
-    months = (F.year(y) - F.year(x)) * 12 + F.month(y) - F.month(x)
-    stepped = at_clock(F.add_months(x.cast("date"), months), F.pmod(_micros(x), F.lit(86_400_000_000)) * 1000)
-    over = F.when((whole >= 0) & (stepped > y), -1).when((whole < 0) & (stepped < y), 1).otherwise(0)
-    months = months + over
-    if unit == "months":
-        return Value(F.when(whole.isNotNull(), make_duration(months.cast("long"), zero, zero, zero)), DURATION)
-    stepped = at_clock(F.add_months(x.cast("date"), months), F.pmod(_micros(x), F.lit(86_400_000_000)) * 1000)
-    rest = _micros(y) - _micros(stepped)
-    days = (rest / 86_400_000_000).cast("long")
-    return Value(F.when(whole.isNotNull(), make_duration(months.cast("long"), days, zero, (rest - days * 86_400_000_000) * 1000)), DURATION)
+
+    def spanned(p: Column) -> Column:
+        """x, y, the microseconds between them, and the whole months."""
+        x, y = p["x"], p["y"]
+        whole = _micros(y) - _micros(x)
+        months = (F.year(y) - F.year(x)) * 12 + F.month(y) - F.month(x)
+        stepped = at_clock(F.add_months(x.cast("date"), months), F.pmod(_micros(x), F.lit(86_400_000_000)) * 1000)
+        over = F.when((whole >= 0) & (stepped > y), -1).when((whole < 0) & (stepped < y), 1).otherwise(0)
+        return F.struct(x.alias("x"), y.alias("y"), whole.alias("whole"), (months + over).alias("months"))
+
+    def parts(p: Column) -> Column:
+        whole, months = p["whole"], p["months"].cast("long")
+        if unit == "seconds":
+            return make_duration(zero + whole * 0, zero, zero, whole * 1000)
+        if unit == "days":
+            return make_duration(zero + whole * 0, (whole / 86_400_000_000).cast("long"), zero, zero)
+        if unit == "months":
+            return make_duration(months, zero, zero, zero)
+        stepped = at_clock(F.add_months(p["x"].cast("date"), p["months"]), F.pmod(_micros(p["x"]), F.lit(86_400_000_000)) * 1000)
+        return once(_micros(p["y"]) - _micros(stepped), lambda rest: make_duration(months, (rest / 86_400_000_000).cast("long"), zero, (rest - (rest / 86_400_000_000).cast("long") * 86_400_000_000) * 1000))
+
+    return Value(once(once(F.struct(x.alias("x"), y.alias("y")), spanned), parts), DURATION)
 
 
 # Truncation and accessors.
@@ -384,8 +399,6 @@ def between(a: Value, b: Value, unit: str) -> Value:
 
 def truncate(name: str, unit: Value, v: Value, fields: Value | None = None) -> Value:
     """The value cut to a unit (a literal), then with the fields that are given."""
-    from pyspark.sql import Column as _  # noqa: F401
-
     u = getattr(unit, "literal", None)
     if not isinstance(u, str):
         raise QueryError("InvalidArgumentValue: the unit must be a literal string")

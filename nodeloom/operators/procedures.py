@@ -62,7 +62,7 @@ def shortest(ctx, source: int, target: int) -> DataFrame:
     ns = steps.join(nodes, "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "id", "node"))), lambda x: x["node"]).alias("nodes"))
     one = pairs.join(rels.select("src", "dst", "id", F.struct(*[F.col(f"`{c}`") for c in rels.columns]).alias("rel")), ["src", "dst"])
     one = one.groupBy("i").agg(F.min_by("rel", "id").alias("rel"))
-    rs = one.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "rel"))) if False else F.array_sort(F.collect_list(F.struct("i", "rel")), lambda a, b: (a["i"] - b["i"]).cast("int")), lambda x: x["rel"]).alias("rels"))
+    rs = one.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "rel")), lambda a, b: (a["i"] - b["i"]).cast("int")), lambda x: x["rel"]).alias("rels"))
     out = ns.join(rs).select(F.struct("nodes", "rels").alias("path"), F.size("rels").cast("long").alias("cost"))
     return out if ids else out.limit(0)
 

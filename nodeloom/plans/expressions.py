@@ -73,7 +73,7 @@ def literal(x) -> Value:
 def listed(vs: list[Value]) -> Value:
     t = common([v.type for v in vs])
     if not vs:
-        return Value(F.array().cast(T.ArrayType(NULL)) if False else F.array(), T.ArrayType(NULL))
+        return Value(F.array(), T.ArrayType(NULL))
     return Value(F.array(*[to(v, t) for v in vs]), T.ArrayType(t))
 
 

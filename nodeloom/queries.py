@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -273,6 +274,24 @@ def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select((F.col("entity") - node_id("User", F.lit(0))).alias("key"), "start", "count", F.round("sum", 2).alias("total"), "min", "max")
 
 
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows over the events as a stream, run to its end into the shared folder."""
+    from .lineage import shared_dir
+    from .streaming.logs import read_log, windowed
+
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    log = read_log(spark, f"{sf_dir}/events*.parquet", events.schema).withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out")  # each batch holds all windows so far
+
+    stream = windowed(log, "ts", "1 day", None, ("event_type",), "value").writeStream.outputMode("complete").foreachBatch(keep)
+    stream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{path}/out")
+    return got.select((F.unix_micros("start") * 1000).alias("start"), "event_type", "count", F.round("sum", 2).alias("total"))
+
+
 FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     **{f"vector_exact_{m}": (_vector(m), _vector_sql(m)) for m in _SEARCH},
     "vector_filtered": (_vector("cosine", "WHERE i.label < 3"), _vector_sql("cosine", "WHERE label < 3")),
@@ -282,6 +301,7 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "write_merge_snapshot": (_merge, "SELECT r_name AS name, CASE WHEN r_name = 'ASIA' THEN false END AS fresh FROM region UNION ALL SELECT 'ATLANTIS', true"),
     "write_set_remove": (_set_remove, "SELECT CAST(n_nationkey AS BIGINT) AS key, CASE WHEN n_nationkey <= 6 THEN CAST(n_nationkey AS BIGINT) * 2 END AS code, n_nationkey < 10 AS early FROM nation"),
     "write_delete_detach": (_delete, "SELECT CAST(c_nationkey AS BIGINT) AS key, count(*) AS n FROM customer WHERE c_nationkey < 20 GROUP BY 1"),
+    "stream_tumbling": (_stream, f"SELECT ({_NANOS}) // 86400000000000 * 86400000000000 AS start, event_type, count(*) AS count, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"),
     "rollup_daily": (_rollup, f"SELECT user_id AS key, ({_NANOS}) // 86400000000000 * 86400000000000 AS start, count(value) AS count, round(sum(value), 2) AS total, min(value) AS min, max(value) AS max FROM events GROUP BY 1, 2"),
 }
 

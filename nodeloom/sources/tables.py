@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.temporal import epoch_nanos
 from ..model import Graph, NodeTable, RelTable, widened
+from ..plans.values import LDT, Value
 
 #: Node ids carry their label's number in the upper bits, so they are unique in the graph.
 SPACES = {"Region": 1, "Nation": 2, "Customer": 3, "Supplier": 4, "Part": 5, "Order": 6, "User": 7, "Document": 8, "Item": 9, "Turn": 10}
@@ -67,7 +69,7 @@ def events_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Users with a temporal property ``value``: the events are its samples."""
     events = read(spark, sf_dir, "events")
     users = events.select("user_id").distinct().withColumn("value", F.lit(None).cast("double"))
-    nanos = F.unix_micros(F.to_timestamp_ltz(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("Z")))) * 1000
+    nanos = epoch_nanos(Value(F.col("ts").cast("timestamp_ntz"), LDT))
     samples = events.select(node_id("User", F.col("user_id")).alias("entity"), nanos.alias("time"), F.col("event_id").alias("seq"), "value")
     graph = Graph(spark, (_nodes("User", users, "user_id", key="user_id", value="value"),), (), name="events")
     return graph.with_(samples={("node", "User", "value"): samples})
