@@ -4,7 +4,8 @@
    signature cut into bands. Documents with equal sets collapse to the smallest id.
 2. Representatives that share a band are candidates. No bucket is ever expanded into its
    pairs: each bucket gets a centre (its smallest id), and each member meets the one centre
-   with which it shares the most bands.
+   with which it shares the most bands. A bucket of two is its one pair, which is compared too
+   if its ends are not in one component by then.
 3. Candidate pairs are confirmed on the full sets, recomputed from the whole texts, and
    confirmed links are merged by union-find.
 4. Buckets that are not within one component then (copies of copies, candidates that are not
@@ -210,8 +211,13 @@ def _pairs(centres: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 def _linked(members: DataFrame, pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, component) over all links among the members of each bucket."""
     comp = cut(components(verified(pairs, texts, k, percent)))
-    # A bucket of two has had its only pair compared.
-    large = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 2").select("key")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    # The only pair of a bucket of two is compared here, unless its centre was the one that the member met.
+    two = members.where("id <> centre").join(sizes.where("size = 2").select("key"), "key", "left_semi").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    more = cut(_apart(two.join(pairs, ["a", "b"], "left_anti"), comp))
+    pairs = pairs.union(more)
+    comp = _merged(verified(more, texts, k, percent), comp)
+    large = sizes.where("size > 2").select("key")
     placed = cut(_placed(members.select("key", "id").join(large, "key", "left_semi"), comp))
     doubtful = cut(placed.join(_open(placed), "key", "left_semi").select("id").distinct())
     drop_cut(placed)
@@ -233,16 +239,31 @@ def _linked(members: DataFrame, pairs: DataFrame, texts: DataFrame, k: int, perc
             centres = left.join(most.select("key", F.col("most.component").alias("main")), "key").where("component <> main").drop("main")
         more = cut(_pairs(centres, left, percent).join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(more)
-        found = cut(verified(more, texts, k, percent))
-        if not found.isEmpty():
-            joined = components(_between(found, comp))
-            grown = comp.join(joined.withColumnRenamed("component", "to").withColumnRenamed("node", "component"), "component", "left")
-            grown = grown.select("node", F.coalesce("to", "component").alias("component"))
-            comp, old = cut(grown.union(joined.join(comp, "node", "left_anti"))), comp
-            drop_cut(old)
+        comp = _merged(verified(more, texts, k, percent), comp)
     return comp
 
 
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component."""
+    placed = pairs
+    for side in ("a", "b"):
+        placed = placed.join(comp.select(F.col("node").alias(side), F.col("component").alias(f"_{side}")), side, "left")
+    return placed.where("coalesce(_a, a) <> coalesce(_b, b)").select("a", "b")
+
+
+def _merged(links: DataFrame, comp: DataFrame) -> DataFrame:
+    """``comp`` with the components joined that ``links`` connect."""
+    found = cut(links)
+    if found.isEmpty():
+        return comp
+    joined = components(_between(found, comp))
+    grown = comp.join(joined.withColumnRenamed("component", "to").withColumnRenamed("node", "component"), "component", "left")
+    grown = grown.select("node", F.coalesce("to", "component").alias("component"))
+    out = cut(grown.union(joined.join(comp, "node", "left_anti")))
+    drop_cut(comp)
+    return out
+
+
 def _between(links: DataFrame, comp: DataFrame) -> DataFrame:
     """Links of nodes as links of the components that they are in."""
     for side in ("a", "b"):

@@ -115,6 +115,18 @@ def test_near_edges(spark):
     assert near_dedup.op3_near_dedup(docs.limit(0)).count() == 0
 
 
+def test_near_bucket_of_two(spark):
+    """A < C < B share bands by twos only, B fewer with A than with C: B meets C first, and A by its own bucket."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join(w) for w in (base[58:], base[:-58], base)]
+    ((_, n, of, got),) = textops.shingle_sets(pa.array(texts), 4)
+    a, c, b = (set(x.tolist()) for x in textops.band_keys(textops.super_min_hash(of, got, n, 160), 32, 5))
+    assert 0 < len(a & b) < len(c & b) and not a & c
+    got = near_dedup.op3_near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {0: 0, 1: 0, 2: 0}
+
+
 def test_super_min_hash():
     """Places agree as often as sets do; each element's ranks are a permutation; empty sets give no value."""
     a, b = np.arange(0, 900, dtype=np.uint64), np.arange(100, 1000, dtype=np.uint64)
