@@ -189,6 +189,27 @@ def test_passages(spark):
     assert all(w in text[9] for w in clean[9])
 
 
+def test_passages_beside_the_centre(spark):
+    """Links of d2 and d3 where both (or d3 only) are in the groups of an earlier d1."""
+    rng = random.Random(10)
+    draw = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    texts, want = [], set()
+    for _ in range(30):  # d1 and d2 are near d3 and not near each other
+        base = draw(100)
+        d1, d2 = list(base), list(base)
+        d1[25], d1[75], d2[0], d2[50], d2[99] = draw(5)
+        texts += [d1, d2, base]
+        want |= {(len(texts) - 1, len(texts) - 3), (len(texts) - 1, len(texts) - 2)}
+    for _ in range(30):  # d2 and d3 are equal, d1 is not near enough
+        base = draw(50)
+        d1 = list(base)
+        d1[24], d1[25] = draw(2)
+        texts += [d1 + draw(20), base + draw(20), base + draw(20)]
+        want.add((len(texts) - 1, len(texts) - 2))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {(r["b"], r["a"]) for r in passages.repeated_passages(df).collect()} == want
+
+
 def test_passage_edges(spark):
     docs = edge_docs(spark)
     got = passages.op8_substring_dedup(docs).collect()
