@@ -210,6 +210,25 @@ def test_passages_beside_the_centre(spark):
     assert {(r["b"], r["a"]) for r in passages.repeated_passages(df).collect()} == want
 
 
+def test_passages_that_two_functions_agree_on(spark):
+    rng = random.Random(11)
+    draw = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    texts = []
+    for _ in range(300):
+        base = draw(50)
+        texts += [base, base[:24] + draw(1) + base[25:]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["id", "text"])
+    keys = defaultdict(set)
+    for out in passages._window_keys(5, 46)(iter([batch])):
+        for key, i in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+            keys[i].add(key)
+    two = {(i + 1, i) for i in range(0, 600, 2) if len(keys[i] & keys[i + 1]) == 2}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["b"], r["a"]) for r in passages.repeated_passages(df).collect()}
+    assert two and two <= got and passages.HITS == 2
+
+
 def test_passage_edges(spark):
     docs = edge_docs(spark)
     got = passages.op8_substring_dedup(docs).collect()
