@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import forget as drop_cut
+from ..lineage import stored as cut
+
+__all__ = ["HOT_KEYS", "attach", "cut", "drop_cut", "give_back", "hot_keys", "packed", "small_batches", "table"]
+
 #: A key is hot when it has more than 1/HOT_KEYS of all rows, so there are at
 #: most HOT_KEYS - 1 hot keys whatever the input: a proven bound for broadcasts.
 HOT_KEYS = 4096
@@ -20,41 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="nodeloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    The lineage ends there, so a lost executor costs a reread and no recomputation,
-    and the reread has sizes that the planner can check before it broadcasts.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
-def drop_cut(*frames: DataFrame | None) -> None:
-    """Delete tables that :func:`cut` wrote and that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_cut_path", None)
-        if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Let this session hand rows to Python in batches of at most ``rows``.
 
@@ -84,13 +52,13 @@ def hot_keys(rows: DataFrame, keys: list[str], total: int) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * HOT_KEYS > total).select(*keys)
 
 
-def attach(rows: DataFrame, values: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
-    """Left join of ``rows`` with ``values`` (one row for a key) that no hot key can skew.
+def attach(rows: DataFrame, values: DataFrame, keys: list[str], hot: DataFrame, how: str = "left") -> DataFrame:
+    """Join of ``rows`` with ``values`` (one row for a key) that no hot key can skew: left, inner or left_semi.
 
     Rows of hot keys meet a broadcast of fewer than HOT_KEYS rows and are not moved; all
     others are joined by key, where a key has at most ``1/HOT_KEYS`` of the rows.
     """
     hot = hot.select(*keys)
-    warm = rows.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(values.join(F.broadcast(hot), keys, "left_semi")), keys, "left")
-    cold = rows.join(F.broadcast(hot), keys, "left_anti").join(values, keys, "left")
+    warm = rows.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(values.join(F.broadcast(hot), keys, "left_semi")), keys, how)
+    cold = rows.join(F.broadcast(hot), keys, "left_anti").join(values, keys, how)
     return warm.unionByName(cold)

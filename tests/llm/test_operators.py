@@ -293,6 +293,53 @@ def test_tool_calls(spark):
     assert by["c", 2, "x"]["json"] == '{"content":"3","role":"tool","tool_call_id":"x"}' and tool_calls.op4_tool_calls(df.limit(0)).count() == 0
 
 
+def call_turn(*calls):
+    return json.dumps({"tool_calls": [{"id": i, "name": "t", "arguments": a, "after": after} for i, a, after in calls]})
+
+
+def test_tool_call_edges(spark):
+    """Ties within a turn, repeated rows, null turns, long texts, clashing names, the empty table."""
+    big = json.dumps({"text": "x" * 300_000})
+    rows = [
+        ("c", 0, "assistant", call_turn(("a", "{}", []), ("a", '{"k":1}', ["b"]), ("b", big, ["a"]))), ("c", 1, "assistant", call_turn(("b", "{}", []))),
+        ("d", 0, "assistant", call_turn(("r", "{}", []))), ("d", 0, "assistant", call_turn(("r", "{}", []))), ("d", None, "assistant", call_turn(("r", "{}", []))), ("d", None, "tool", json.dumps({"tool_call_id": "r", "content": None})),
+        ("n", None, "assistant", call_turn((None, "{}", []))), (None, None, None, None),
+    ]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "conv_id string, turn long, role string, text string, kind string, level string")
+    for part in (1, 5):
+        got = tool_calls.linked(tool_calls.events_of_json(df.repartition(part)), {}).collect()
+        seen = sorted((r["conv"] or "", r["call_id"] or "", r["turn"] is None, r["turn"] or 0, r["status"], str(r["level"])) for r in got)
+        assert seen == sorted([
+            ("c", "a", False, 0, "open", "0"), ("c", "a", False, 0, "duplicate", "0"), ("c", "b", False, 0, "open", "2"), ("c", "b", False, 1, "duplicate", "2"),
+            ("d", "r", False, 0, "answered", "0"), ("d", "r", False, 0, "answered", "0"), ("d", "r", True, 0, "duplicate", "0"), ("d", "r", True, 0, "linked", "1"),
+            ("n", "", True, 0, "open", "0"), ("", "", True, 0, "message", "0"),
+        ])
+    assert max(len(r["json"]) for r in got) > 300_000 and {r["row"]["kind"] for r in got} == {"clash"}
+    same = [(1, 0, "user", "a"), (1, 0, "user", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "x"), (1, 2, "user", "c"), (2, None, "user", "q")]
+    got = tool_calls.op4_tool_calls(spark.createDataFrame(same, "conv_id long, turn long, role string, text string"))
+    assert sorted(r["status"] for r in got.where("turn = 0").collect()) in (["answered", "answered", "duplicate"], ["answered", "duplicate", "duplicate"])
+    assert got.where("turn = 2").first()["level"] == 2 and got.count() == 6
+    assert "ShuffledHashJoin" in got._jdf.queryExecution().toString()
+
+
+def test_tool_call_order(spark):
+    """Levels of chains, diamonds, random graphs and cycles, against Kahn's rounds."""
+    rng = random.Random(12)
+    edges = {("chain", i): [i - 1] if i else [] for i in range(300)}
+    for i in range(20):
+        edges |= {("diamonds", 3 * i): [3 * i - 1] if i else [], ("diamonds", 3 * i + 1): [3 * i], ("diamonds", 3 * i + 2): [3 * i, 3 * i + 1]}
+    for g in range(12):
+        edges |= {(f"free{g}", v): [rng.randrange(v if rng.random() < 0.97 else 30) for _ in range(rng.choice([0, 1, 1, 2, 3]))] if v else [] for v in range(30)}
+    edges |= {("loop", v): w for v, w in enumerate([[1], [0], [1], [], [3, 2], [3], [5, 3], [7]])}
+    want = {}
+    while ready := {k: max([want[k[0], w] + 1 for w in ws], default=0) for k, ws in edges.items() if k not in want and all((k[0], w) in want for w in ws)}:
+        want |= ready
+    rows = [(g, str(v), [str(x) for x in w]) for (g, v), w in edges.items()]
+    got = tool_calls._levels(spark.createDataFrame(rows, "conv string, call_id string, after array<string>")).collect()
+    assert {(r["conv"], int(r["call_id"])): r["level"] for r in got} == {k: want.get(k) for k, w in edges.items() if w}
+    assert len(want) < len(edges) and want["chain", 299] == 299
+
+
 # The pipeline.
 
 
