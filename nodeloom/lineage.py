@@ -24,18 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, result: bool = False) -> DataFrame:
     """``df`` written as Parquet and read back: a lost executor costs a reread, not a recomputation.
 
     The reread has sizes that the planner can check before it broadcasts. The table stays until
-    :func:`forget` or the end of the :func:`scratch` that it was written in.
+    :func:`forget` or the end of the :func:`scratch` that it was written in; a ``result`` belongs
+    to the scratch around that one, if there is one.
     """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
-    if _open:
-        _open[-1].append(out)
+    if len(_open) > result:
+        _open[-1 - result].append(out)
     return out
 
 
