@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import forget as drop_cut
+from ..lineage import scratch
 from ..lineage import stored as cut
 
-__all__ = ["HOT_KEYS", "attach", "cut", "drop_cut", "give_back", "hot_keys", "packed", "small_batches", "table"]
+__all__ = ["HOT_KEYS", "attach", "cut", "drop_cut", "give_back", "hot_keys", "packed", "scratch", "small_batches", "table"]
 
 #: A key is hot when it has more than 1/HOT_KEYS of all rows, so there are at
 #: most HOT_KEYS - 1 hot keys whatever the input: a proven bound for broadcasts.
