@@ -27,6 +27,8 @@ BLOCK_DOCS = 64
 MAX_UNITS = 10_000_000
 MAX_SOURCES = 100_000
 DIGIT = 10
+#: Words of a shard, about, where no number of shards is given, and the least and greatest number then.
+SHARD_WORDS, SHARDS = 50_000_000, (16, 16_384)
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (1, 2, 3), cap: float = 3) -> dict[str | None, float]:
@@ -76,6 +78,11 @@ def _hash(seed: int, *columns: Column) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
 
+def _name(column: str) -> Column:
+    """An id as text that tells a null one from an empty one."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
 def _rests(sized: DataFrame, plan: DataFrame, bits: int) -> DataFrame:
     """plan with ``whole`` (blocks of the rest that are taken whole) and ``gap`` (words still to take)."""
     state = plan.withColumns({"whole": F.lit(0).cast("long"), "gap": F.col("rest")})
@@ -99,7 +106,7 @@ def _rests(sized: DataFrame, plan: DataFrame, bits: int) -> DataFrame:
 
 def mix_plan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: list[str] | None = None,
-    weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, shards: int = 16, seed: int = 17,
+    weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, shards: int | None = None, seed: int = 17,
 ) -> DataFrame:
     """Each row of ``docs`` with its share of the mix.
 
@@ -107,19 +114,25 @@ def mix_plan(
     text, 0 for null), ``source_size``, ``target`` (of its source), ``shards`` (the shard of
     each copy that the mix takes, at most ``cap`` of them, an empty list if none), ``block`` and
     ``spot`` (order within a shard: by block, then spot). A null source is a source. Rows with
-    equal ids and sources are taken together. Sources without words have target 0. An
-    empty table gives an empty result. At most MAX_SOURCES sources: their plan is made on the
-    driver, a row each.
+    equal ids and sources are taken together; a null id and an empty one are two ids. Sources
+    without words have target 0. An empty table gives an empty result. Texts are read once for
+    their sizes; (id, source, size) is written and read from then on. At most MAX_SOURCES
+    sources, else an error: their plan is made on the driver, a row each. Without a number of
+    shards there is one for SHARD_WORDS words, within the bounds of SHARDS.
     """
     if cap != int(cap) or cap < 1:
         raise ValueError("cap must be a whole number of passes")
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(docs[text_col], F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), size.alias("size"))
+    light = carry is not None and text_col not in carry  # the rows themselves are as short as their sizes
+    keys = [docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), size.alias("size")]
+    rows = cut(docs.select(*keys, *([packed(docs, carry).alias("row")] if light else [])), result=light)
     stats = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")).limit(MAX_SOURCES + 1).collect()
     if len(stats) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     stats.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
+    if shards is None:
+        shards = min(SHARDS[1], max(SHARDS[0], -(-sum(r["words"] for r in stats) // SHARD_WORDS)))
     goal = targets({r["source"]: r["words"] for r in stats}, weights, cap)
     a_block = max(BLOCK_DOCS, math.ceil(sum(r["docs"] for r in stats) / MAX_UNITS))
     plan = []
@@ -132,18 +145,18 @@ def mix_plan(
     plan_at = F.broadcast(plan.select(F.col("source").alias("_s"), "source_size", "target", "blocks", "passes"))
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.join(plan_at, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("block", F.pmod(_hash(seed, F.col("id").cast("string")), F.col("blocks")))
+        return df.join(plan_at, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("block", F.pmod(_hash(seed, _name("id")), F.col("blocks")))
 
-    sized = cut(dealt(rows).select("id", "source", "size", "block"))
+    sized = dealt(rows).select("id", "source", "size", "block")
     state = _rests(sized, plan, bits)
     # The last block of each source, about BLOCK_DOCS ids: fill the gap, large ones first.
     edge = sized.join(F.broadcast(state.select(F.col("source").alias("_s"), "whole", "gap")), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("whole")))
-    units = edge.groupBy("source", F.col("id").cast("string").alias("id")).agg(F.sum("size").alias("size"), F.first("gap").alias("gap"))
+    units = edge.groupBy("source", _name("id").alias("id")).agg(F.sum("size").alias("size"), F.first("gap").alias("gap"))
     listed = units.groupBy("source").agg(F.max("gap").alias("gap"), F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("n"), _hash(seed + 1, F.col("id")).alias("h"), "id"))).alias("all"))
     filled = F.expr("""aggregate(all, struct(gap as left, cast(array() as array<string>) as got), (acc, x) -> CASE
-        WHEN -x.n <= acc.left AND x.n < 0 THEN struct(acc.left + x.n as left, array_append(acc.got, coalesce(x.id, '')) as got) ELSE acc END).got""")
+        WHEN -x.n <= acc.left AND x.n < 0 THEN struct(acc.left + x.n as left, array_append(acc.got, x.id) as got) ELSE acc END).got""")
     extra = listed.select("source", F.explode(filled).alias("id"), F.lit(1).alias("extra"))
-    extra = cut(extra)
+    extra = cut(extra, result=True)
     # Quotas in blocks; the one that is taken in part counts as one.
     rows_of = {r["source"]: r for r in state.collect()}
     parts = {r["source"] for r in extra.select("source").distinct().collect()}
@@ -151,30 +164,33 @@ def mix_plan(
     quotas = np.array([r["passes"] * r["blocks"] + r["whole"] + (r["source"] in parts) for r in order], np.int64)
     ends = np.cumsum(split_tree(quotas, shards, seed), axis=0).T if len(order) else np.zeros((0, shards))
     ranges = spark.createDataFrame([(r["source"], r["whole"], e.tolist()) for r, e in zip(order, ends, strict=True)], "_s string, whole long, ends array<long>")
-    drop_cut(sized)
+    drop_cut(state)
 
-    base = docs.select(packed(docs, carry).alias("row"), docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), size.alias("size"))
+    base = rows if light else docs.select(packed(docs, carry).alias("row"), *keys)
     base = dealt(base).join(F.broadcast(ranges), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     extra = extra.select(F.col("source").alias("_s"), F.col("id").alias("_i"), "extra")
-    base = base.join(F.broadcast(extra), F.col("source").eqNullSafe(F.col("_s")) & (F.coalesce(F.col("id").cast("string"), F.lit("")) == F.col("_i")) & (F.col("block") == F.col("whole")), "left")
+    base = base.join(F.broadcast(extra), F.col("source").eqNullSafe(F.col("_s")) & (_name("id") == F.col("_i")) & (F.col("block") == F.col("whole")), "left")
     more = ((F.col("block") < F.col("whole")) | F.col("extra").isNotNull()).cast("long")
     copies = F.when(F.col("source_size") > 0, F.least(F.col("passes") + more, F.lit(int(cap)))).otherwise(F.lit(0)).cast("int")
     dealt_to = F.expr("CASE WHEN copies = 0 THEN cast(array() as array<int>) ELSE transform(sequence(0, copies - 1), c -> size(filter(ends, e -> e <= c * blocks + block))) END")
     out = base.withColumn("copies", copies).withColumn("shards", dealt_to)
-    return out.select("row", "id", "source", "size", "source_size", "target", "shards", _hash(seed + 2, F.col("block"), F.col("source")).alias("block"), _hash(seed + 3, F.col("id").cast("string")).alias("spot"))
+    if not light:
+        drop_cut(rows)
+    out = out.select("row", "id", "source", "size", "source_size", "target", "shards", _hash(seed + 2, F.col("block"), F.col("source")).alias("block"), _hash(seed + 3, _name("id")).alias("spot"))
+    out.shard_count = shards
+    return out
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 16, **options) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, **options) -> DataFrame:
     """The mix: a row for each copy taken, with its ``_shard``, a partition for each shard, in the shuffled order."""
-    plan = mix_plan(docs, id_col, text_col, source_col, shards=shards, **options).withColumn("_shard", F.explode("shards"))
-    plan = plan.repartition(shards, "_shard").sortWithinPartitions("_shard", "block", "spot")
+    plan = mix_plan(docs, id_col, text_col, source_col, shards=shards, **options)
+    plan = plan.withColumn("_shard", F.explode("shards")).repartitionById(plan.shard_count, F.col("_shard")).sortWithinPartitions("_shard", "block", "spot")
     return plan.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], "_shard")
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of the mix, each as often as the mix takes it, with their own columns only."""
-    plan = mix_plan(docs, id_col, text_col, source_col, **options)
-    return plan.select("row", F.explode("shards")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    """The rows of the mix, shard by shard in the shuffled order, with their own columns only."""
+    return mixed(docs, id_col, text_col, source_col, **options).select(*docs.columns)
 
 
 def op6_mixing(docs: DataFrame) -> DataFrame:

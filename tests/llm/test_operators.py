@@ -109,6 +109,22 @@ def test_mix_many_blocks(spark):
     assert mix.columns == docs.columns and mixing.op6_mixing(docs.limit(0)).count() == 0
     placed = mixing.mixed(docs, shards=4)
     assert placed.count() == mix.count() and placed.select("_shard").distinct().count() == 4
+    where = placed.select("_shard", F.spark_partition_id().alias("p")).distinct().collect()
+    assert sorted((r["_shard"], r["p"]) for r in where) == [(i, i) for i in range(4)]
+
+
+def test_mix_shuffles_and_repeats(spark):
+    """Within a shard, documents are not in the order they came in; rows of one id are taken together; '' and null are two ids."""
+    docs = spark.createDataFrame([(i, "w w w", "s") for i in range(3000)], "doc_id long, text string, source string")
+    ids = [r["doc_id"] for r in mixing.mixed(docs, shards=2).collect()]
+    assert sorted(ids) == list(range(3000)) and ids != sorted(ids) and abs(np.corrcoef(ids, range(3000))[0, 1]) < 0.1
+    rows = [("", "w " * 60, "a"), (None, "w " * 40, "a"), ("x", "w " * 50, "a"), ("x", "w " * 50, "a"), ("y", "long " * 100_000, "b")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    got = mixing.op6_mixing(docs).collect()
+    assert len({tuple(r["shards"]) for r in got if r["doc_id"] == "x"}) == 1 and len(got) == 5
+    assert sum(r["taken"] for r in got) <= 3 * sum(r["size"] for r in got) and max(r["size"] for r in got) == 100_000
+    many = mixing.mix_plan(docs, shards=None)
+    assert many.shard_count == 16
 
 
 # Pieces.
