@@ -9,9 +9,9 @@ function of three sums of its marginals.
 
 Token labels come from labelled documents: words and beginnings that documents labelled toxic
 hold far more often than others are toxic tokens there, and every other token is plain. The field is fitted
-by gradient ascent on its conditional likelihood, on the driver, from at most SAMPLE labelled
-documents, half of each class at most, and at most SAMPLE_CHARS characters of each; scoring
-reads every whole text.
+by gradient ascent on its conditional likelihood, on the driver, from the whole texts of at most
+SAMPLE labelled documents, half of each class at most, that have at most SAMPLE_BYTES together;
+every word and beginning that three of them hold has weights. Scoring reads every whole text.
 
 A block's tokens form one chain in which a document starts with a transition that forgets
 what was before. The chain is cut into columns of WIDTH tokens: all columns advance together,
@@ -28,12 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, packed, small_batches
+from .common import cut, drop_cut, give_back, packed, small_batches
 from .textops import blocks, word_hashes, words
 
-SAMPLE = 3000
-SAMPLE_CHARS = 20_000
-LEXICON = 40_000
+#: Labelled documents that the field is fitted on, and bytes of their texts, at most.
+SAMPLE, SAMPLE_BYTES = 3000, 1 << 26
 BEGINNINGS = (4, 6, 8)
 #: How many times as often toxic documents hold a toxic word, or a toxic beginning, as others.
 RATIO, RATIO_BEGINNING = 4, 8
@@ -173,22 +172,30 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from the labelled documents that are not held out.
 
-    Reads at most ``sample`` of them (those of each class whose ids have the smallest hashes)
-    and their first ``chars`` characters. An id with several labels counts as toxic if one says
-    so; null labels are left out. Without labels of both classes the model knows no word and
-    gives every text the smoothed share of toxic labels.
+    Reads the whole texts of at most ``sample`` of them: those of each class whose ids have the
+    smallest hashes, as long as all texts up to there have at most ``sample_bytes``. An id with
+    several labels counts as toxic if one says so; null labels are left out. An id with several
+    texts has the greatest; equal texts with equal labels count once. The same rows in any order
+    give the same model. Without labels of both classes, or texts for them, the model knows no
+    word and gives every text the smoothed share of toxic labels.
     """
     known = labels.where(labels["toxic"].isNotNull() & labels["doc_id"].isNotNull() & ~is_held_out(labels["doc_id"]))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    total = {int(r["toxic"] > 0): r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = {int(r["toxic"] > 0): r["n"] for r in known.groupBy(F.col("toxic") > 0).agg(F.max("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = known.where("toxic > 0").orderBy(*order).limit(sample // 2).unionAll(known.where("toxic <= 0").orderBy(*order).limit(sample // 2))
-    texts = docs.select(docs[id_col].alias("doc_id"), F.substring(docs[text_col], 1, chars).alias("text")).where("text is not null")
-    rows = texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic").dropDuplicates().toArrow().combine_chunks()
-    return _fit(rows["text"], (rows["toxic"].to_numpy() > 0).astype(int), total)
+    picked = cut(known.where("toxic > 0").orderBy(*order).limit(sample // 2).unionAll(known.where("toxic <= 0").orderBy(*order).limit(sample // 2)))
+    texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).where("text is not null")
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    rows = cut(rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "toxic", "text", F.octet_length("text").alias("bytes")))
+    sizes = sorted(((r["h"], r["doc_id"], r["bytes"]) for r in rows.select("h", "doc_id", "bytes").collect()), key=lambda r: r[:2])
+    last = next((h for (h, _, _), n in zip(sizes, np.cumsum([r[2] for r in sizes]), strict=True) if n > sample_bytes), None)
+    rows = rows if last is None else rows.where(F.col("h") < last)
+    found = rows.groupBy("toxic", "text").agg(F.min(F.struct("h", "doc_id")).alias("o")).orderBy("o", "toxic").select("text", "toxic").toArrow().combine_chunks()
+    drop_cut(picked)
+    return _fit(found["text"], (found["toxic"].to_numpy() > 0).astype(int), total)
 
 
 def _fit(texts: pa.ChunkedArray, y: np.ndarray, total: dict[int, int]) -> Model:
@@ -213,8 +220,7 @@ def _fit(texts: pa.ChunkedArray, y: np.ndarray, total: dict[int, int]) -> Model:
     hit0 = np.bincount(cells // len(y), minlength=len(vocab)) - hit1
     share = (hit1 + hit0) / len(y)
     z = (hit1 / n1 - hit0 / n0) / np.sqrt(np.maximum(share * (1 - share), 0.5 / len(y)) * (1 / n1 + 1 / n0))
-    usable = np.flatnonzero((hit1 + hit0 >= 2) & (vocab != 0))
-    chosen = np.sort(usable[np.argsort(-np.abs(z[usable]), kind="stable")[:LEXICON]])
+    chosen = np.flatnonzero((hit1 + hit0 >= 3) & (vocab != 0))
     times = np.full(len(vocab), RATIO)
     times[np.unique(ids[1:])] = RATIO_BEGINNING
     bad = (z >= 4) & (hit1 / n1 >= times * (hit0 + 0.5) / n0) & (vocab != 0)
@@ -274,7 +280,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str
 
     score lies in [0, 1]; spans are the maximal runs of tokens whose marginal is ``at`` or
     more, as (start, end) offsets into the UTF-8 bytes of the whole text. Null and empty texts
-    have no spans and get the score of a text without toxic tokens.
+    have no spans and get the score of a text without toxic tokens. Each row is scored on its own,
+    whatever its id: rows with equal texts have equal scores. An empty table gives an empty
+    result; extra columns travel inside ``row`` only.
     """
     small_batches(docs.sparkSession)
     names = docs.columns if carry is None else carry
