@@ -41,9 +41,14 @@ def stored(df: DataFrame, result: bool = False) -> DataFrame:
 
 
 def forget(*frames: DataFrame | None) -> None:
-    """Delete tables of :func:`stored` that nothing reads any more; other frames are passed over."""
-    for df in frames:
-        path = getattr(df, "_stored_at", None)
+    """Delete tables of :func:`stored` that nothing reads any more; other frames are passed over.
+
+    Files of shuffles go when the driver's garbage is collected, which it seldom is on its own.
+    """
+    found = [(df, df._stored_at) for df in frames if getattr(df, "_stored_at", None)]
+    for i, (df, path) in enumerate(found):
+        if i == 0:
+            df.sparkSession.sparkContext._jvm.System.gc()
         if path:
             where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
