@@ -5,11 +5,12 @@
    scripts, styles, comments, forms, and elements whose tag, role, class or id says menu,
    header, footer, sidebar, notice, advert or reader comments. Lines within an ``article`` or
    ``main`` element are declared to be the article.
-2. All other lines are undeclared. Pages are sorted by host and URL path, and each is paired
-   with the neighbour of its host that shares the longer beginning of the path; a neighbour
-   with the very same undeclared lines is a copy and is passed over. The two pages' undeclared
-   lines are aligned by a longest common subsequence, and lines that both have are deleted:
-   they belong to the template.
+2. All other lines are undeclared. Pages of a host with the very same lines, declared ones
+   included, are copies: the one with the least path stands for all of them, and what is deleted
+   from it is deleted from its copies. These pages are sorted by host and URL path, and each is
+   paired with the neighbour that shares the longer beginning of the path. The two pages'
+   undeclared lines are aligned by a longest common subsequence, and lines that both have are
+   deleted: they belong to the template.
 
 Only hashes of undeclared lines leave their page's task for the comparison. Pages are dealt by
 range over (host, path, id), so a host with a third of all pages is spread, and the first and
@@ -23,11 +24,12 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, packed
+from .common import attach, cut, hot_keys, packed, scratch
 
 RANGE_ROWS = 2000
 
@@ -149,42 +151,81 @@ def lines_of(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def common_lines(a: list[int], b: list[int]) -> list[int]:
+#: Cells of an alignment whose rows of bits are kept; larger ones are halved first.
+CELLS = 1 << 24
+
+
+def _row(x: list[int], y: list[int]) -> int:
+    """Bits of the places in y; bit j is 0 where the common subsequence of x and y[: j + 1] is longer than without y[j]."""
+    where: dict[int, int] = {}
+    for j, v in enumerate(y):
+        where[v] = where.get(v, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    row = full
+    for v in x:
+        hit = row & where.get(v, 0)
+        row = (row + hit | row - hit) & full
+    return row
+
+
+def _lengths(x: list[int], y: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of x and each beginning of y."""
+    row = _row(x, y)
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(y) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(y)]
+    return np.r_[0, np.cumsum(1 - bits.astype(np.int64))]
+
+
+def _aligned(x: list[int], y: list[int]) -> list[int]:
+    """Places in x of a longest common subsequence, from the rows of bits of all lines of x."""
+    where: dict[int, int] = {}
+    for j, v in enumerate(y):
+        where[v] = where.get(v, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    row, rows = full, []
+    for v in x:
+        hit = row & where.get(v, 0)
+        row = (row + hit | row - hit) & full
+        rows.append(row)
+    i, j, found = len(x) - 1, len(y) - 1, []
+    while i >= 0 and j >= 0:
+        if rows[i] >> j & 1:
+            j -= 1
+        elif i and not rows[i - 1] >> j & 1:
+            i -= 1
+        else:
+            found.append(i)
+            i, j = i - 1, j - 1
+    return found[::-1]
+
+
+def common_lines(a: list[int], b: list[int], cells: int = CELLS) -> list[int]:
     """Places in ``a`` of the lines of a longest common subsequence of a and b.
 
-    Equal beginnings and ends are matched first; the middle is solved by rows of bits (one
-    whole number for each line of a), so that pages of thousands of lines cost little.
+    Equal beginnings and ends are matched first. The middle is solved by rows of bits; where
+    these would be more than ``cells``, a is halved, b is split where the lengths from both
+    sides add up to the most, and the parts are solved one by one, so memory stays in
+    proportion to the pages.
     """
-    lo = 0
-    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
-    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    found = list(range(lo))
-    if x and y:
-        where: dict[int, int] = {}
-        for j, v in enumerate(y):
-            where[v] = where.get(v, 0) | 1 << j
-        full = (1 << len(y)) - 1
-        row, rows = full, []
-        for v in x:
-            hit = row & where.get(v, 0)
-            row = (row + hit | row - hit) & full
-            rows.append(row)
-        # A zero bit j in row i: the common subsequence of x[:i+1] grows at y[j].
-        i, j, middle = len(x) - 1, len(y) - 1, []
-        while i >= 0 and j >= 0:
-            if rows[i] >> j & 1:
-                j -= 1
-            elif i and not rows[i - 1] >> j & 1:
-                i -= 1
-            else:
-                middle.append(lo + i)
-                i, j = i - 1, j - 1
-        found += middle[::-1]
-    return found + list(range(len(a) - hi, len(a)))
+    found: list[int] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and a[i] == b[j]:
+            found.append(i)
+            i, j = i + 1, j + 1
+        while i < n and j < m and a[n - 1] == b[m - 1]:
+            n, m = n - 1, m - 1
+            found.append(n)
+        if i == n or j == m:
+            continue
+        x, y = a[i:n], b[j:m]
+        if len(x) * len(y) <= cells or len(x) == 1:
+            found += [i + p for p in _aligned(x, y)]
+            continue
+        half = len(x) // 2
+        split = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+        todo += [(i, i + half, j, j + split), (i + half, n, j + split, m)]
+    return sorted(found)
 
 
 def _shared(a: str, b: str) -> int:
@@ -204,7 +245,7 @@ def _differences(group: pa.Table) -> pa.Table:
             continue
         best, most = None, -1
         for j in (k - 1, k + 1):
-            if 0 <= j < len(rows) and rows[j][0] == host and rows[j][3] != own and (n := _shared(path, rows[j][1])) > most:
+            if 0 <= j < len(rows) and rows[j][0] == host and (n := _shared(path, rows[j][1])) > most:
                 best, most = rows[j][3], n
         if best and (places := common_lines(own, best)):
             keys.append(key)
@@ -221,9 +262,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """``row`` (struct of the columns ``carry``, all by default), ``text`` of each page.
 
     text is the page's main text, its blocks joined by a line feed; empty for null or empty
-    pages and for those without main text. Pages without a URL form a host of their own;
-    pages that repeat an id or URL are paired like any others; a page whose neighbours are
-    copies of it, or that is alone in its host, keeps its undeclared lines.
+    pages and for those without main text. Pages without a URL form a host of their own; pages
+    that repeat an id or URL are paired like any others; copies of a page have one text; a page
+    that is alone in its host, but for copies, keeps its undeclared lines. Whole pages are read,
+    however long; an empty table gives an empty result; extra columns travel inside ``row`` only.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,10 +280,22 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     plain = pages.select(F.struct(packed(pages, carry).alias("row"), host.alias("host"), path.alias("path")).alias("own"), pages[html_col].cast("string").alias("html"))
     schema = plain.select("own", F.expr("cast(array() as array<string>)").alias("texts"), F.expr("cast(array() as array<long>)").alias("marks")).schema
     parsed = plain.mapInArrow(read, schema).withColumn("key", F.monotonically_increasing_id())
-    parsed = cut(parsed.select("key", "own.row", "own.host", "own.path", "texts", "marks"))
+    parsed = cut(parsed.select("key", "own.row", "own.host", "own.path", "texts", "marks", F.unhex(F.sha2(F.to_json(F.struct("texts", F.transform("marks", lambda m: m.isNull()).alias("kind"))), 256)).alias("d")), result=True)
+    with scratch():
+        gone = cut(_deleted(parsed, range_rows), result=True)
+    out = attach(parsed, gone, ["host", "d"], cut(hot_keys(parsed, ["host", "d"], parsed.count())))
+    # ``gone`` counts undeclared lines only: put their places back among all lines, and keep the others.
+    places = F.expr("filter(sequence(0, size(marks)), i -> i < size(marks) and marks[i] is not null)")
+    out = out.withColumn("places", places).withColumn("away", F.expr("transform(gone, g -> places[g])"))
+    stay = F.expr("array_except(filter(sequence(0, size(texts)), i -> i < size(texts)), coalesce(away, cast(array() as array<int>)))")
+    return out.withColumn("stay", stay).select("row", F.array_join(F.expr("transform(stay, i -> texts[i])"), "\n").alias("text"))
 
-    open_ = parsed.select("host", "path", "key", F.filter("marks", lambda m: m.isNotNull()).alias("lines"))
-    open_ = cut(open_.where(F.size("lines") > 0))
+
+def _deleted(parsed: DataFrame, range_rows: int) -> DataFrame:
+    """host, d (digest of all lines), gone (places among the undeclared lines) of pages that lose some."""
+    open_ = parsed.select("host", "path", "key", "d", F.filter("marks", lambda m: m.isNotNull()).alias("lines")).where(F.size("lines") > 0)
+    first = open_.groupBy("host", "d").agg(F.min(F.struct("path", "key")).alias("first"))
+    open_ = cut(open_.join(first.select(F.col("first.key").alias("key")), "key", "left_semi"))
     ranges = max(1, -(-open_.count() // range_rows))
     dealt = cut(open_.repartitionByRange(ranges, "host", "path", "key").withColumn("part", F.spark_partition_id()))
     order = F.struct("host", "path", "key")
@@ -250,14 +304,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     ends = ends.select(F.lag("part").over(line).alias("before"), "first", F.lead("part").over(line).alias("after"), "last")
     guests = ends.select(F.col("before").alias("to"), "first.*").union(ends.select(F.col("after").alias("to"), "last.*")).where("to is not null")
     guests = guests.join(dealt.select("key", "lines"), "key").select(F.col("to").alias("part"), "host", "path", "key", "lines", F.lit(True).alias("beside"))
-    both = dealt.withColumn("beside", F.lit(False)).unionByName(guests)
+    both = dealt.drop("d").withColumn("beside", F.lit(False)).unionByName(guests)
     gone = both.groupBy("part").applyInArrow(_differences, "key long, gone array<int>")
-    out = parsed.join(cut(gone), "key", "left")
-    # ``gone`` counts undeclared lines only: put their places back among all lines.
-    places = F.expr("filter(sequence(0, size(marks)), i -> i < size(marks) and marks[i] is not null)")
-    out = out.withColumn("places", places).withColumn("away", F.expr("transform(gone, g -> places[g])"))
-    kept = F.expr("filter(texts, (t, i) -> away is null or not array_contains(away, i))")
-    return out.select("row", F.array_join(kept, "\n").alias("text"))
+    return dealt.select("host", "d", "key").join(gone, "key").select("host", "d", "gone")
 
 
 def op5_html_extract(pages: DataFrame) -> DataFrame:

@@ -265,10 +265,13 @@ def test_common_lines():
 
     for _ in range(200):
         a, b = ([rng.randrange(6) for _ in range(rng.randint(0, 14))] for _ in range(2))
-        got = html_extract.common_lines(a, b)
-        assert got == sorted(set(got)) and len(got) == longest(a, b)
-        it = iter(b)
-        assert all(a[i] in it for i in got)
+        for cells in (html_extract.CELLS, 4):  # 4: halved down to single lines
+            got = html_extract.common_lines(a, b, cells)
+            assert got == sorted(set(got)) and len(got) == longest(a, b)
+            it = iter(b)
+            assert all(a[i] in it for i in got)
+    far = html_extract.common_lines(list(range(0, 60_000, 2)), list(range(0, 60_000, 3)))
+    assert far == list(range(0, 30_000, 3))
 
 
 def test_pages(spark):
@@ -286,6 +289,58 @@ def test_pages(spark):
     assert (one["n_chars"], one["url"]) == (5, "http://solo.net/")
 
 
+BARE = "<body><div>Menu</div><div>Links %s</div>%s<div>Foot</div></body>"
+
+
+def bare(article):
+    return BARE % ("here", "".join(f"<p>{x}</p>" for x in article.split()))
+
+
+def test_pages_with_copies(spark):
+    """Templates that markup does not declare go, whatever number of copies lies beside a page; texts of copies are equal."""
+    rows = [(1, "http://h/a", bare("a1 a2")), (2, "http://h/a", bare("a1 a2")), (3, "http://h/a", bare("a1 a2")), (4, "http://h/b", bare("b1"))]
+    rows += [(5, "http://k/a", bare("x")), (6, "http://k/z", bare("x")), (7, None, bare("n1")), (8, None, bare("n2"))]
+    rows += [(100 + i, "http://hot/%d" % (i % 7), bare("c1 c2")) for i in range(300)] + [(900, "http://hot/9", bare("d1"))]
+    pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, text string, key int")
+    for part, size in ((1, 2000), (6, 2)):
+        got = {r["page_id"]: r["text"] for r in html_extract.main_text(pages.repartition(part), carry=["page_id", "text"], range_rows=size).select("row.page_id", "text").collect()}
+        assert got[1] == got[2] == got[3] == "a1\na2" and got[4] == "b1" and got[7] == "n1" and got[8] == "n2"
+        assert got[5] == got[6] == "Menu\nLinks here\nx\nFoot"  # copies only: nothing to compare with
+        assert {got[100 + i] for i in range(300)} == {"c1\nc2"} and got[900] == "d1"
+    long = spark.createDataFrame([(i, f"http://l/{i}", bare(" ".join(f"{'x' if j % 3 else i}{j}" for j in range(30_000)))) for i in range(2)], "page_id long, url string, html string")
+    assert [r["n_chars"] for r in html_extract.op5_html_extract(long).collect()] == [sum(len(str(j)) + 2 for j in range(0, 30_000, 3)) - 1] * 2
+
+
+def test_page_differences(spark):
+    """Pairs and deleted lines of random hosts against the definition: nearest other page by path, longest common subsequence."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(120):
+        url = f"http://h{rng.randrange(4)}/{rng.choice('abc')}/{rng.choice('abcdef')}{rng.randrange(5)}"
+        rows.append((i, url, "".join(f"<p>l{rng.randrange(9)}</p>" for _ in range(rng.randint(0, 9)))))
+    rows += [(200 + i, rows[i][1], rows[i][2]) for i in range(0, 120, 5)]
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), carry=["page_id"], range_rows=7).select("row.page_id", "text").collect()}
+    stand, by_host = {}, {}
+    for i, url, page in rows:
+        host, path, lines = url.split("/")[2], url.split("/", 3)[3], re.findall("l\\d", page)
+        if lines:
+            key = (host, tuple(lines))
+            stand[key] = min(stand.get(key, (path, i)), (path, i))
+    for (host, lines), (path, i) in stand.items():
+        by_host.setdefault(host, []).append((path, i, list(lines)))
+    want = {}
+    for host, pages in by_host.items():
+        pages.sort()
+        for n, (path, _, lines) in enumerate(pages):
+            near = [pages[m] for m in (n - 1, n + 1) if 0 <= m < len(pages)]
+            best = max(near, key=lambda p: html_extract._shared("/" + path, "/" + p[0]), default=None)
+            gone = set(html_extract.common_lines([int(x[1]) for x in lines], [int(x[1]) for x in best[2]])) if best else set()
+            want[host, tuple(lines)] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    for i, url, page in rows:
+        lines = tuple(re.findall("l\\d", page))
+        assert got[i] == (want[url.split("/")[2], lines] if lines else ""), (i, url)
+
+
 # Tool calls.
 
 
