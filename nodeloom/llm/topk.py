@@ -6,7 +6,12 @@ dimension has a sorted list of its values. A query walks the lists of all its di
 once (from the top for positive weights, from the bottom for negative ones), scores each row
 that it meets for the first time on the whole vector, and stops when the threshold, which is
 the sum of the weights times the values that the lists have come to, cannot beat its kth best
-score. The best k of the cells are merged by query.
+score, or when its lists have shown every row. The first row block is searched first: its kth
+score is a floor that each query takes to all other cells, which stop by it and return only
+what reaches it. The best k of the cells are merged by query.
+
+In many dimensions of noise the threshold sinks slowly: the lists show every row before it
+comes down to the kth score. README has measured figures.
 """
 
 from __future__ import annotations
@@ -20,71 +25,87 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-ROW_BLOCK, QUERY_BLOCK = 16_384, 1024
-FIRST_DEPTH, GROWTH = 16, 4
+#: Rows and queries of a cell: each row is sent once for so many queries, each query once for so many rows.
+ROW_BLOCK, QUERY_BLOCK = 16_384, 16_384
+FIRST_DEPTH = 16
 
 
-def threshold_search(ids: np.ndarray, rows: np.ndarray, query: np.ndarray, own: int, k: int, order: np.ndarray, values: np.ndarray, least: int | None = None) -> tuple[list[tuple[int, int]], int]:
-    """The k best (score, id) of ``rows``, ties to smaller ids, without those of id ``own``; and the depth reached.
+def threshold_search(ids: np.ndarray, rows: np.ndarray, query: np.ndarray, own: int, k: int, order: np.ndarray, values: np.ndarray, floor: int | None = None) -> tuple[list[tuple[int, int]], int, bool]:
+    """The k best (score, id) of ``rows``, ties to smaller ids, without those of id ``own``; rows scored; whether it stopped by the threshold.
 
-    ``order`` and ``values`` are the ascending lists of each dimension (rows x dimensions).
+    ``order`` and ``values`` are the ascending lists of each dimension (rows x dimensions). A
+    ``floor`` is a score that the kth best of all rows is known to reach: lower ones are left out.
     """
     n = len(ids)
     used = np.flatnonzero(query)
-    if not len(used):
+    if not len(used):  # every score is 0: any list shows the rows
         used = np.arange(min(1, len(query)))
     weight = query[used]
     up = weight < 0
     seen = np.zeros(n, bool)
     best_s, best_i = np.zeros(0, rows.dtype), np.zeros(0, np.int64)
-    depth, step = 0, FIRST_DEPTH
-    while depth < n:
-        to = min(n, depth + step)
-        if 4 * to >= n:
-            to, fresh = n, np.flatnonzero(~seen)  # the lists hold every row by their ends
+    depth, step, scored, stopped = 0, FIRST_DEPTH, 0, False
+    while scored < n:
+        to = min(n, depth + step) if len(used) else n
+        met = np.zeros(n, bool)
+        if len(used):
+            met[order[depth:to, used[up]].ravel()] = True
+            met[order[n - to : n - depth, used[~up]].ravel()] = True
         else:
-            met = np.where(up, order[depth:to, used], order[n - to : n - depth, used][::-1]).ravel()
-            fresh = np.unique(met[~seen[met]])
-        seen[fresh] = True
-        score = rows[fresh] @ query if len(fresh) < n else rows @ query
-        other = ids[fresh] != own
-        best_s, best_i = np.concatenate([best_s, score[other]]), np.concatenate([best_i, ids[fresh][other]])
+            met[:] = True
+        fresh = np.flatnonzero(met & ~seen)
+        seen |= met
+        scored += len(fresh)
+        score = rows[fresh] @ query
+        good = ids[fresh] != own
+        if floor is not None:
+            good &= score >= floor
+        best_s, best_i = np.concatenate([best_s, score[good]]), np.concatenate([best_i, ids[fresh][good]])
         if len(best_s) > k:
-            floor = np.partition(best_s, len(best_s) - k)[len(best_s) - k]
-            near = best_s >= floor
+            least = np.partition(best_s, len(best_s) - k)[len(best_s) - k]
+            near = best_s >= least
             best_s, best_i = best_s[near], best_i[near]
             first = np.lexsort((best_i, -best_s))[:k]
             best_s, best_i = best_s[first], best_i[first]
-        depth, step = to, step * GROWTH
-        if depth < n and len(best_s) >= k:
+        depth, step = to, step * 2
+        if depth < n and scored < n:
             bound = (weight * np.where(up, values[depth, used], values[n - 1 - depth, used])).sum()
-            if bound < best_s.min():
+            beat = max([*([best_s.min()] if len(best_s) >= k else []), *([floor] if floor is not None else [])], default=None)
+            if beat is not None and bound < beat:
+                stopped = True
                 break
     first = np.lexsort((best_i, -best_s))[:k]
-    return [(int(best_s[x]), int(best_i[x])) for x in first], depth
+    return [(int(best_s[x]), int(best_i[x])) for x in first], scored, stopped
+
+
+FOUND, FOUND_NAMES = "ask long, query_id long, vec_id long, score long, scored long, stopped boolean", ["ask", "query_id", "vec_id", "score", "scored", "stopped"]
 
 
 def _cell(k: int):
+    """Rows of the best k of each query; one with a null vec_id says how many rows a query scored and whether it stopped early."""
+
     def search(group: pa.Table) -> pa.Table:
-        asked = group.column("asked").to_numpy(zero_copy_only=False).astype(bool)
+        ask = group.column("ask")
+        asked = ~np.asarray(ask.is_null())
         ids = group.column("id").to_numpy()
-        lists = group.column("vector").combine_chunks()
-        flat = lists.flatten().to_numpy()
+        flat = group.column("vector").combine_chunks().flatten().to_numpy()
         dims = len(flat) // max(1, len(ids))
         data = flat.reshape(len(ids), dims)
         rows, own = data[~asked], ids[~asked]
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple] = []
         # Sums of products are exact in doubles below 2^53, and much faster there.
-        exact = dims and float(np.abs(data).max(initial=0)) ** 2 * dims < 2**53
+        exact = dims and float(np.abs(data.astype(np.float64)).max(initial=0)) ** 2 * dims < 2**53
         rows = rows.astype(np.float64 if exact else np.int64)
         order = np.argsort(rows, axis=0, kind="stable")
         values = np.take_along_axis(rows, order, axis=0)
         if len(own):
-            for q, v in zip(ids[asked], data[asked], strict=True):
-                got, _ = threshold_search(own, rows, v.astype(rows.dtype), int(q), k, order, values)
-                out.extend((int(q), i, s) for s, i in got)
-        cols = list(zip(*out, strict=True)) if out else ([], [], [])
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.int64())})
+            for a, q, v, floor in zip(np.asarray(ask.to_pylist(), object)[asked], ids[asked], data[asked], np.asarray(group.column("floor").to_pylist(), object)[asked], strict=True):
+                got, scored, stopped = threshold_search(own, rows, v.astype(rows.dtype), int(q), k, order, values, floor)
+                out.extend((a, int(q), i, s, None, None) for s, i in got)
+                out.append((a, int(q), None, None, scored, stopped))
+        types = [pa.int64()] * 5 + [pa.bool_()]
+        cols = list(zip(*out, strict=True)) if out else [()] * 6
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(FOUND_NAMES, cols, types, strict=True)})
 
     return search
 
@@ -94,25 +115,46 @@ def quantised(vector: Column, scale: int = 1024) -> Column:
     return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
 
 
+def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "id", vector_col: str = "vector", row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """What the cells find (FOUND): candidates for each query's best k, and how many rows it scored in each cell."""
+    good = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asked"))
+    good = good.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull()))
+    n, asked = good.agg(F.count(F.lit(1)), F.count_if("asked")).first()
+    r, q = max(1, -(-n // row_block)), max(1, -(-asked // query_block))
+    deal = F.xxhash64(F.monotonically_increasing_id())  # evenly, however often an id is repeated
+    none = F.lit(None).cast("long")
+    rows = good.select(none.alias("ask"), "id", "vector", F.size("vector").alias("dims"), F.pmod(deal, F.lit(r)).alias("r"), none.alias("floor"))
+    rows = cut(rows) if r > 1 else rows  # the deal is the same for both passes
+    queries = good.where("asked").select(F.xxhash64("id", "vector").alias("ask"), "id", "vector", F.size("vector").alias("dims")).distinct()
+    queries = queries.withColumn("q", F.pmod("ask", F.lit(q)))
+
+    def cells(rows: DataFrame, queries: DataFrame, blocks: Column) -> DataFrame:
+        rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q - 1).cast("long"))).alias("q"))
+        sent = queries.select("ask", "id", "vector", "dims", F.explode(blocks).alias("r"), "floor", "q")
+        return rows.unionByName(sent).groupBy("dims", "r", "q").applyInArrow(_cell(k), FOUND)
+
+    first = cells(rows.where("r = 0"), queries.withColumn("floor", none), F.array(F.lit(0).cast("long")))
+    if r == 1:
+        return first
+    first = cut(first)
+    place = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score")))
+    floors = first.where("vec_id is not null").withColumn("n", place).where(F.col("n") == k).select("ask", F.col("score").alias("floor"))
+    more = cells(rows.where("r > 0"), queries.join(floors, "ask", "left"), F.sequence(F.lit(1).cast("long"), F.lit(r - 1).cast("long")))
+    return first.unionByName(more)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "id", vector_col: str = "vector", row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows with the highest inner product with each query row.
 
     Vectors are arrays of long. Ties go to smaller ids; a query never meets rows of its own
     id; with fewer than k other rows, all are returned. Rows with a null id or vector or a
     null component take no part; a query meets the vectors of its own number of dimensions.
-    An empty table gives an empty result.
+    Query rows with equal ids and vectors are one query; with equal ids and other vectors they
+    are queries of their own, with ranks of their own; as candidates, rows that repeat an id
+    each count. An empty table gives an empty result; extra columns are not read.
     """
-    good = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asked"))
-    good = good.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull()))
-    n, asked = good.agg(F.count(F.lit(1)), F.count_if("asked")).first()
-    r, q = max(1, -(-n // row_block)), max(1, -(-asked // query_block))
-    deal = F.xxhash64(F.monotonically_increasing_id())  # evenly, however often an id is repeated
-    dims = F.size("vector").alias("dims")
-    rows = good.select("id", "vector", F.lit(False).alias("asked"), dims, F.pmod(deal, F.lit(r)).alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q - 1).cast("long"))).alias("q"))
-    queries = good.where("asked").dropDuplicates(["id", "vector"]).select("id", "vector", F.lit(True).alias("asked"), dims, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(r - 1).cast("long"))).alias("r"), F.pmod(F.xxhash64("id"), F.lit(q)).alias("q"))
-    cells = rows.unionByName(queries).groupBy("dims", "r", "q")
-    found = cells.applyInArrow(_cell(k), "query_id long, vec_id long, score long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = search(vectors, is_query, k, id_col, vector_col, row_block, query_block).where("vec_id is not null")
+    place = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -194,9 +194,27 @@ def test_threshold_stops_early():
     rng = np.random.default_rng(1)
     rows = rng.exponential(size=(20_000, 3)).astype(np.float64)
     order = np.argsort(rows, axis=0, kind="stable")
-    got, depth = topk.threshold_search(np.arange(20_000), rows, np.array([1.0, 2.0, -0.1]), -1, 5, order, np.take_along_axis(rows, order, axis=0))
+    lists = (order, np.take_along_axis(rows, order, axis=0))
+    got, scored, stopped = topk.threshold_search(np.arange(20_000), rows, np.array([1.0, 2.0, -0.1]), -1, 5, *lists)
     s = rows @ np.array([1.0, 2.0, -0.1])
-    assert [i for _, i in got] == np.argsort(-s)[:5].tolist() and depth < 5000
+    assert [i for _, i in got] == np.argsort(-s)[:5].tolist() and scored < 10_000 and stopped
+    some, fewer, stopped = topk.threshold_search(np.arange(20_000), rows, np.array([1.0, 2.0, -0.1]), -1, 5, *lists, floor=float(np.sort(s)[-3]))
+    assert [i for _, i in some] == [i for _, i in got[:3]] and fewer <= scored and stopped
+    assert topk.threshold_search(np.arange(4), rows[:4], np.zeros(3), 1, 2, *(x[:4] for x in (np.argsort(rows[:4], axis=0), np.sort(rows[:4], axis=0))))[0] == [(0, 0), (0, 2)]
+
+
+def test_topk_in_blocks(spark):
+    """Several row blocks with floors, repeated rows, ids with several vectors, clashing columns, other dimensions."""
+    rng = np.random.default_rng(3)
+    rows = [(int(i), rng.integers(-20, 20, 5).tolist()) for i in rng.integers(0, 150, 400)]
+    rows += rows[:60] + [(1, [3, 4]), (2, [5, 6]), (10, [1, 1]), (10, []), (20, [])]
+    df = spark.createDataFrame([(*r, 7, 8, True) for r in rows], "id long, vector array<long>, ask long, score long, asked boolean")
+    want = []
+    for i, v in {(i, tuple(v)) for i, v in rows if i % 10 == 0}:
+        near = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), j) for j, w in rows if j != i and len(w) == len(v))[:4]
+        want += [(i, n, j, -s) for n, (s, j) in enumerate(near, 1)]
+    for r, q in ((10_000, 10_000), (40, 5), (3, 1000)):
+        assert sorted(map(tuple, topk.top_k(df, F.col("id") % 10 == 0, 4, row_block=r, query_block=q).collect())) == sorted(want)
 
 
 def test_topk_blocks_and_edges(spark):
