@@ -22,14 +22,14 @@ With 32 bands of 5 places a pair of similarity 0.8 shares no band with probabili
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, cut, drop_cut, give_back, hot_keys, packed, small_batches
+from .common import HOT_KEYS, attach, cut, drop_cut, give_back, hot_keys, packed, scratch, small_batches
 from .textops import as_sets, band_keys, blocks, mix, overlaps, set_digests, shingle_sets, shingles, super_min_hash, word_hashes, words
 from .union_find import components
 
@@ -93,35 +93,43 @@ def near_groups(
     ``n_shingles``, ``component_id`` (smallest id reachable over links of at least
     ``percent`` similarity of k-word shingle sets) and ``kept`` (id = component_id). Null and
     empty texts have no shingles and are linked with nothing; so are rows whose id is null,
-    of which component_id is null and kept is true. Rows that repeat an id are one node. An
+    of which component_id is null and kept is true. Rows that repeat an id are one node (of several
+    texts, the greatest is compared). An
     empty table gives an empty result; extra columns travel inside ``row`` only.
     """
     small_batches(docs.sparkSession)
+    with scratch():
+        ids = cut(_classes(docs, id_col, text_col, k, percent, bands, rows), result=True)
+    if carry == [id_col]:
+        out = ids.select(F.struct(F.col("id").alias(id_col)).alias("row"), "*")
+    else:
+        one = ids.where("id is not null").groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
+        out = docs.select(packed(docs, carry).alias("row"), docs[id_col].cast("long").alias("id")).join(one, "id", "left").select("row", "id", "n_shingles", "component_id")
+    return out.select("row", "id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """id, n_shingles, component_id of each row."""
     sig = cut(signatures(docs, id_col, text_col, k, bands, rows))
     live = sig.where("n > 0 and id is not null")
     reps = live.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
-    keyed = live.join(reps.select(F.col("rep").alias("id"), "d1", "d2", "n"), ["id", "d1", "d2", "n"], "left_semi")
+    keyed = cut(live.join(reps.select(F.col("rep").alias("id"), "d1", "d2", "n"), ["id", "d1", "d2", "n"], "left_semi").select("id", "bands"))
     keyed = keyed.select("id", F.explode("bands").alias("key"))
-    buckets = cut(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", F.col("lo").alias("centre")))
-    members = cut(keyed.join(buckets, "key").select("key", "id", "centre").distinct())
+    buckets = cut(keyed.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("centre < hi").drop("hi"))
+    crowded = cut(buckets.where(F.col("n") * HOT_KEYS > (buckets.agg(F.sum("n")).first()[0] or 0)).select("key"))
+    members = cut(attach(keyed, buckets.select("key", "centre"), ["key"], crowded, "inner").select("key", "id", "centre").distinct())
     shared = members.where("id <> centre").groupBy("id", "centre").agg(F.count(F.lit(1)).alias("bands"))
     best = shared.groupBy("id").agg(F.max(F.struct("bands", (-F.col("centre")).alias("c"))).alias("best"))
     pairs = cut(best.select((-F.col("best.c")).alias("a"), F.col("id").alias("b")))
     candidates = members.select("id").distinct()
-    texts = cut(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).join(candidates, "id", "left_semi").dropDuplicates(["id"]))
-    comp = _linked(members, pairs, texts, k, percent)
+    texts = cut(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).join(candidates, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")))
+    comp = _linked(members, pairs, texts, crowded, k, percent)
 
     named = reps.join(comp, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"), "rep", "size")
     named = cut(named.where("size > 1 or component <> rep").select("d1", "d2", "n", "component"))
     hot = cut(hot_keys(live, ["d1", "d2", "n"], sig.count()))
     ids = attach(sig.select("id", "n", "d1", "d2"), named, ["d1", "d2", "n"], hot)
-    ids = ids.select("id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"))
-    if carry == [id_col]:
-        out = ids.select(F.struct(F.col("id").alias(id_col)).alias("row"), "*")
-    else:
-        one = ids.where("id is not null").groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
-        out = docs.select(packed(docs, carry).alias("row"), docs[id_col].cast("long").alias("id")).join(one, "id", "left").select("row", "id", "n_shingles", "component_id")
-    return out.select("row", "id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return ids.select("id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def _size_class(n: np.ndarray) -> np.ndarray:
@@ -133,8 +141,8 @@ def _class_start(c: np.ndarray) -> np.ndarray:
     return np.maximum(1, np.floor(CLASS**c - 1e-6)).astype(np.int64)
 
 
-def prefix_buckets(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(key, id): two texts with ``percent`` similarity or more share a key.
+def prefix_buckets(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(key, id): two texts with ``percent`` similarity or more share a key. And the keys with more than 1/HOT_KEYS of the rows.
 
     Shingles are ordered by how often they occur in ``texts``, as counted in a sketch of SKETCH
     cells (which may only put a shingle later than it deserves), then by hash. A set of size n
@@ -183,9 +191,10 @@ def prefix_buckets(texts: DataFrame, k: int, percent: int) -> DataFrame:
         give_back()
 
     keys = texts.select("id", "text").mapInArrow(emit, "key long, id long, side int, n int, rank int")
-    shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("side").alias("small"), F.max("side").alias("large"))
-    shared = shared.where("lo < hi and (small < large or small = 0)").select("key")
-    return keys.join(shared, "key", "left_semi").select("key", "id", "n", "rank")
+    shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("side").alias("small"), F.max("side").alias("large"), F.count(F.lit(1)).alias("c"))
+    shared = cut(shared.where("lo < hi and (small < large or small = 0)").select("key", "c"))
+    crowded = cut(shared.where(F.col("c") * HOT_KEYS > (shared.agg(F.sum("c")).first()[0] or 0)).select("key"))
+    return attach(keys, shared.select("key"), ["key"], crowded, "left_semi").select("key", "id", "n", "rank"), crowded
 
 
 def _open(placed: DataFrame) -> DataFrame:
@@ -197,7 +206,7 @@ def _placed(members: DataFrame, comp: DataFrame) -> DataFrame:
     return members.join(comp, members["id"] == comp["node"], "left").select(*members.columns, F.coalesce("component", "id").alias("component"))
 
 
-def _pairs(centres: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _pairs(centres: DataFrame, members: DataFrame, percent: int, meet: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """Pairs in different components that the place of a shared shingle does not rule out.
 
     The first shingle that two sets share is followed by all others that they share, so these
@@ -205,10 +214,10 @@ def _pairs(centres: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """
     side = centres.select("key", F.col("id").alias("centre"), F.col("component").alias("of"), F.col("n").alias("cn"), F.col("rank").alias("cr"))
     possible = F.expr(f"component <> of and least(n - rank, cn - cr) * {100 + percent}L >= {percent}L * (n + cn)")
-    return members.join(side, "key").where(possible).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    return meet(members, side).where(possible).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
-def _linked(members: DataFrame, pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _linked(members: DataFrame, pairs: DataFrame, texts: DataFrame, crowded: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, component) over all links among the members of each bucket."""
     comp = cut(components(verified(pairs, texts, k, percent)))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
@@ -218,15 +227,16 @@ def _linked(members: DataFrame, pairs: DataFrame, texts: DataFrame, k: int, perc
     pairs = pairs.union(more)
     comp = _merged(verified(more, texts, k, percent), comp)
     large = sizes.where("size > 2").select("key")
-    placed = cut(_placed(members.select("key", "id").join(large, "key", "left_semi"), comp))
-    doubtful = cut(placed.join(_open(placed), "key", "left_semi").select("id").distinct())
+    placed = cut(_placed(attach(members.select("key", "id"), large, ["key"], crowded, "left_semi"), comp))
+    doubtful = cut(attach(placed, _open(placed), ["key"], crowded, "left_semi").select("id").distinct())
     drop_cut(placed)
     if doubtful.isEmpty():
         return comp
-    left, tested = cut(prefix_buckets(texts.join(doubtful, "id", "left_semi"), k, percent)), pairs
+    left, crowded = prefix_buckets(cut(texts.join(doubtful, "id", "left_semi")), k, percent)
+    left, tested = cut(left), pairs
     for ways in (*STARS, 0):
         placed = _placed(left.select("key", "id", "n", "rank"), comp)
-        now = cut(placed.join(_open(placed), "key", "left_semi"))
+        now = cut(attach(placed, _open(placed), ["key"], crowded, "left_semi"))
         drop_cut(left)
         left = now
         if left.isEmpty():
@@ -234,10 +244,12 @@ def _linked(members: DataFrame, pairs: DataFrame, texts: DataFrame, k: int, perc
         if ways:
             way = F.pmod(F.xxhash64("id", F.lit(ways)), F.lit(ways)).alias("way")
             centres = left.groupBy("key", way).agg(F.min(F.struct("rank", "id", "n", "component")).alias("c")).select("key", "c.*")
+            meet = lambda rows, side: attach(rows, side, ["key"], crowded, "inner")  # noqa: E731 - a row for each way at most
         else:
             most = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"))
-            centres = left.join(most.select("key", F.col("most.component").alias("main")), "key").where("component <> main").drop("main")
-        more = cut(_pairs(centres, left, percent).join(tested, ["a", "b"], "left_anti"))
+            centres = attach(left, most.select("key", F.col("most.component").alias("main")), ["key"], crowded, "inner").where("component <> main").drop("main")
+            meet = lambda rows, side: rows.join(side, "key")  # noqa: E731 - many rows on both sides: left to adaptive execution
+        more = cut(_pairs(centres, left, percent, meet).join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(more)
         comp = _merged(verified(more, texts, k, percent), comp)
     return comp

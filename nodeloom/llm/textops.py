@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 19
+#: Elements whose permutations are held at once, a byte for each place.
+SKETCH_ROWS = 1 << 18
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _BASE = _U(0x2545F4914F6CDD1D)
@@ -124,15 +126,25 @@ def super_min_hash(docs: np.ndarray, elements: np.ndarray, n_docs: int, m: int)
     Each element walks its own random permutation of the m places (a Fisher-Yates shuffle
     made step by step); in step j it offers the value j + r, r in [0, 1), to its j-th place.
     The ranks of one element are therefore correlated over places: it holds each integer
-    part once. All elements of a block take step j together; a document stops as soon as
-    each place has a value, as later steps only offer larger ones. Values are kept as
+    part once. Up to SKETCH_ROWS elements take step j together; a document stops as soon as
+    each place has a value below j, as later steps only offer larger ones. Values are kept as
     integers, j in the upper 16 bits and r in the lower 48. Without elements: all ones.
     """
     sig = np.full(n_docs * m, ~_U(0))
-    live = np.arange(len(docs))
+    for at in range(0, len(docs), SKETCH_ROWS):  # later elements stop all the earlier
+        _offer(sig, docs[at : at + SKETCH_ROWS], elements[at : at + SKETCH_ROWS], n_docs, m)
+    return sig.reshape(n_docs, m)
+
+
+def _offer(sig: np.ndarray, docs: np.ndarray, elements: np.ndarray, n_docs: int, m: int) -> None:
+    """Lower the signatures to what the elements offer. Step j offers j or more, so a document whose values are all lower is done."""
     place = np.broadcast_to(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(docs), m)).copy()
     seed = mix(elements ^ _U(0x5851F42D4C957F2D))
+    live = np.arange(len(docs))
     for j in range(m):
+        if j:
+            open_ = (sig.reshape(n_docs, m) >> _U(48)).max(axis=1) >= _U(j)
+            live = live[open_[docs[live]]]
         if not len(live):
             break
         x = mix(seed[live] + _U(int(_GOLD) * (j + 1) & 0xFFFFFFFFFFFFFFFF))
@@ -141,9 +153,6 @@ def super_min_hash(docs: np.ndarray, elements: np.ndarray, n_docs: int, m: int)
         place[live, k] = place[live, j]
         place[live, j] = slot
         np.minimum.at(sig, docs[live] * m + slot, (_U(j) << _U(48)) | (x >> _U(16)))
-        open_ = (sig.reshape(n_docs, m) == ~_U(0)).any(axis=1)
-        live = live[open_[docs[live]]]
-    return sig.reshape(n_docs, m)
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:

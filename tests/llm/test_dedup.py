@@ -7,7 +7,6 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import pytest
 from pyspark.sql import functions as F
 
 from nodeloom.llm import exact_dedup, near_dedup, passages, textops, union_find
@@ -96,7 +95,7 @@ def test_prefix_buckets_are_lossless(spark):
     sets = {i: shingles(t, 5) for i, t in rows}
     texts = spark.createDataFrame(rows, "id long, text string")
     keys = defaultdict(set)
-    for r in near_dedup.prefix_buckets(texts, 5, 80).collect():
+    for r in near_dedup.prefix_buckets(texts, 5, 80)[0].collect():
         keys[r["id"]].add(r["key"])
     for a in sets:
         for b in sets:
@@ -127,6 +126,38 @@ def test_near_bucket_of_two(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {0: 0, 1: 0, 2: 0}
 
 
+def test_near_chains(spark):
+    """Triples A < C < B in which B is near both others, or just not, against brute force."""
+    rng = random.Random(31)
+    texts = []
+    for t in range(700):
+        base = [f"t{t}w{i}" for i in range(rng.choice([60, 150, 420]))]
+        cuts = [rng.choice([0.05, 0.09, 0.1, 0.11, 0.12]) for _ in range(2)]
+        one, two = base[int(cuts[0] * 2 * len(base)) :], base[: len(base) - int(cuts[1] * 2 * len(base))]
+        if t % 2:
+            one, two = list(base), list(base)
+            for x, c in zip((one, two), cuts, strict=True):
+                for i in rng.sample(range(len(x)), max(1, int(c * len(x) / 4))):
+                    x[i] = f"x{rng.random()}"
+        texts += [" ".join(x) for x in (one, two, base)]
+    want, hard = {}, 0
+    for i in range(0, len(texts), 3):
+        sets = {j: shingles(texts[j], 4) for j in range(i, i + 3)}
+        links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        hard += set(links) == {(i, i + 2), (i + 1, i + 2)}
+        want |= closed(sets, links)
+    got = near_dedup.op3_near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and hard > 50
+
+
+def test_super_min_hash_in_parts(monkeypatch):
+    """Elements of one document in several parts give the signature of all of them."""
+    docs, got = np.repeat([0, 1, 2], [500, 3, 900]), textops.mix(np.arange(1403, dtype=np.uint64))
+    whole = textops.super_min_hash(docs, got, 4, 160)
+    monkeypatch.setattr(textops, "SKETCH_ROWS", 101)
+    assert (textops.super_min_hash(docs, got, 4, 160) == whole).all()
+
+
 def test_super_min_hash():
     """Places agree as often as sets do; each element's ranks are a permutation; empty sets give no value."""
     a, b = np.arange(0, 900, dtype=np.uint64), np.arange(100, 1000, dtype=np.uint64)
@@ -248,8 +279,8 @@ def test_compact_windows():
     assert sorted(cover) == starts and all(cover[i] == i + int(np.argmin(value[i : i + 10])) for i in starts)
 
 
-@pytest.mark.parametrize("kind,binding", [("exact", None)])
-def test_reruns_agree(spark, kind, binding):
+def test_reruns_agree(spark):
     df = spark.createDataFrame(variants(3, 1, 20), "doc_id long, text string")
-    a, b = (sorted(map(tuple, near_dedup.op3_near_dedup(df.repartition(n)).collect())) for n in (1, 5))
-    assert a == b
+    for query in (exact_dedup.op1_exact_dedup, near_dedup.op3_near_dedup, passages.op8_substring_dedup):
+        a, b = (sorted(map(str, query(df.repartition(n)).collect())) for n in (1, 5))
+        assert a == b
