@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nodeloom.llm.common import cut, table
+from nodeloom.lineage import forget, scratch, stored
+from nodeloom.llm.common import table
 from nodeloom.llm.exact_dedup import exact_dedup
 from nodeloom.llm.mixing import take_mix
 from nodeloom.llm.near_dedup import near_dedup
@@ -28,7 +29,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: each document as often as the mix takes it."""
+    """Sources at their target weights: each document as often as the mix takes it, shard by shard in shuffled order."""
     return take_mix(docs)
 
 
@@ -48,8 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, one after the other, on the documents."""
+    """The stages, one after the other, on the documents; what a stage has written goes when the next one is done with it."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        with scratch():
+            now = stored(stage(spark, docs, sf_dir), result=True)
+        forget(docs)
+        docs = now
     return STAGES[-1][1](spark, docs, sf_dir)
