@@ -37,34 +37,46 @@ def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.withColumn("degree", F.col("outDegree") + F.col("inDegree"))
 
 
-def bfs(nodes: DataFrame, edges: DataFrame, source: int, parents: bool = False, target: int | None = None) -> DataFrame:
-    """id, distance (and the smallest parent on a shortest path) of what ``source`` reaches."""
-    walk = edges.select("src", "dst").distinct()
-    front = stored(nodes.where(F.col("id") == source).select("id", F.lit(0).cast("long").alias("distance"), F.lit(None).cast("long").alias("parent")))
-    seen, hop = front, 0
-    while True:
-        hop += 1
-        step = front.join(walk, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        front = stored(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(hop).cast("long").alias("distance"), "parent"))
+def levels(nodes: DataFrame, edges: DataFrame, source: int, target: int | None = None) -> list[DataFrame]:
+    """Stored tables (id, distance, parent) of what ``source`` reaches, by distance; the parent is the smallest on a shortest path.
+
+    Ends at the level of ``target``, if that is given and reached.
+    """
+    walk = stored(edges.select("src", "dst").distinct())
+    out = [stored(nodes.where(F.col("id") == source).select("id", F.lit(0).cast("long").alias("distance"), F.lit(None).cast("long").alias("parent")))]
+    seen = out[0].select("id")
+    while target != source:
+        step = out[-1].join(walk, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        front = stored(step.join(seen, "id", "left_anti").select("id", F.lit(len(out)).cast("long").alias("distance"), "parent"))
         if front.isEmpty():
+            forget(front)
             break
-        seen = seen.union(front)
+        out.append(front)
         if target is not None and not front.where(F.col("id") == target).isEmpty():
             break
-    return seen if parents else seen.select("id", "distance")
+        now = stored(seen.union(front.select("id")))
+        forget(seen)
+        seen = now
+    forget(walk)
+    return out
+
+
+def bfs(nodes: DataFrame, edges: DataFrame, source: int) -> DataFrame:
+    """id, distance of what ``source`` reaches."""
+    out, *more = levels(nodes, edges, source)
+    for front in more:
+        out = out.union(front)
+    return out.select("id", "distance")
 
 
 def shortest_path(nodes: DataFrame, edges: DataFrame, source: int, target: int) -> list[int] | None:
-    """Ids of the nodes of a shortest path; None without one. The path is as long as the answer."""
-    tree = bfs(nodes, edges, source, True, target)
-    path, at = [], target
-    while at is not None:
-        row = tree.where(F.col("id") == at).select("parent").first()
-        if row is None:
-            return None
-        path.append(at)
-        at = row["parent"]
-    return path[::-1]
+    """Ids of the nodes of a shortest path; None without one. The path is as long as the answer: one job walks it back."""
+    *before, last = levels(nodes, edges, source, target)
+    row = last.where(F.col("id") == target).select(F.col("id").alias("n0"), F.col("parent").alias("up"))  # one row, or none
+    for i, level in enumerate(reversed(before), 1):
+        row = F.broadcast(row).join(level.select(F.col("id").alias(f"n{i}"), F.col("parent").alias("_up")), F.col("up") == F.col(f"n{i}")).drop("up").withColumnRenamed("_up", "up")
+    found = row.drop("up").first()
+    return None if found is None else [found[f"n{i}"] for i in range(len(before), -1, -1)]
 
 
 def dfs(nodes: DataFrame, edges: DataFrame, source: int) -> DataFrame:
@@ -93,10 +105,11 @@ def dfs(nodes: DataFrame, edges: DataFrame, source: int) -> DataFrame:
 
 def dijkstra(nodes: DataFrame, edges: DataFrame, source: int) -> DataFrame:
     """id, cost, predecessor: relaxation of the edges (src, dst, weight) from those whose cost has just sunk."""
-    bad = edges.where("weight is null or isnan(weight) or weight < 0 or weight = double('Infinity')")
-    if not bad.isEmpty():
+    bad = "weight is null or isnan(weight) or weight < 0 or weight = double('Infinity')"
+    walk = stored(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight"), F.count_if(F.expr(bad)).alias("bad")))
+    if not walk.where("bad > 0").isEmpty():
         raise QueryError("InvalidArgumentValue: weights must be finite numbers of 0 or more")
-    walk = edges.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    walk = walk.drop("bad")
     best = stored(nodes.where(F.col("id") == source).select("id", F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("predecessor")))
     front = best
     while True:

@@ -32,7 +32,7 @@ def _c(name: str):
 def expand(rows: DataFrame, start: str, edges: DataFrame, x: Expansion) -> DataFrame:
     """``rows`` joined with the paths that leave the node in column ``start``.
 
-    ``edges``: near, far, id and ``rel`` (struct). Adds ``_end`` (last node), ``_len``, and,
+    ``edges``: near, far and, unless only endpoints are asked for, id and ``rel`` (struct). Adds ``_end`` (last node), ``_len``, and,
     unless only endpoints are asked for, ``_ids`` and ``_rels`` (of the relationships) and
     ``_nodes`` (structs of the nodes after the first, if ``x.nodes`` is given).
     """
@@ -47,6 +47,8 @@ def expand(rows: DataFrame, start: str, edges: DataFrame, x: Expansion) -> DataF
     if seen is not None and x.lo == 1:
         seen = None  # the start itself may be reached again
     hop, bounded = 0, x.hi is not None
+    if not bounded or x.hi > 1:
+        edges = stored(edges)  # read by each hop, computed once
     walked = edges.select(*[F.col(c).alias(f"_e_{c}") for c in edges.columns])
     while hop < (x.hi if bounded else MOST_HOPS):
         hop += 1
@@ -87,7 +89,7 @@ def expand(rows: DataFrame, start: str, edges: DataFrame, x: Expansion) -> DataF
     else:
         if not bounded:
             raise QueryError(f"the expansion goes on after {MOST_HOPS} hops: give it an upper bound")
-    out = found[0] if found else rows.limit(0).withColumns(_zero(start, edges, x))
+    out = found[0] if found else rows.limit(0).withColumns({"_end": _c(start), "_len": F.lit(0)} if x.endpoints_only else _zero(start, edges, x))
     for f in found[1:]:
         out = out.unionByName(f)
     if x.endpoints_only:

@@ -380,7 +380,7 @@ class Context:
         reach = not path.var and r.var not in self.used and path.selector is None and r.lo <= 1 and path.mode != "acyclic" and r.direction != "both" and self.distinct_ends
         x.endpoints_only = reach
         if x.endpoints_only:
-            edges = edges.select("near", "far", "id", "rel").dropDuplicates(["near", "far"])
+            edges = edges.select("near", "far").distinct()
         elif r.hi is None and path.mode == "walk":
             raise QueryError("REPEATABLE ELEMENTS needs an upper bound")
         start = rows.env[a.var].cols["id"][0]
@@ -671,9 +671,12 @@ class Context:
         if name == "count":
             return df, F.expr(f"count({d}`{c}`)"), LONG
         if name == "collect":
-            t = T.ArrayType(v.type)
-            got = F.collect_list(x)
-            return df, F.array_distinct(got) if distinct else got, t
+            # In the order that the rows come in: a sort or a list before stays in force.
+            at = self.uid("at")
+            df = df.withColumn(at, F.monotonically_increasing_id())
+            rows = F.collect_list(F.when(x.isNotNull(), F.struct(col(at).alias("at"), x.alias("x"))))
+            got = F.transform(F.array_sort(rows, lambda a, b: F.when(a["at"] < b["at"], -1).otherwise(1)), lambda r: r["x"])
+            return df, F.array_distinct(got) if distinct else got, T.ArrayType(v.type)
         if name in ("min", "max"):
             if k in ("date", "number", "string", "boolean", "localdatetime", "null"):
                 return df, F.expr(f"{name}(`{c}`)"), v.type

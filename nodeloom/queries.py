@@ -33,8 +33,8 @@ _add("match_incoming", tpch_graph,
      "MATCH (p:Part)<-[l:CONTAINS]-(o:Order) WHERE l.quantity > 45 RETURN p.brand AS brand, count(*) AS lines, sum(l.quantity) AS quantity",
      "SELECT p_brand AS brand, count(*) AS lines, sum(l_quantity) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45 GROUP BY 1")
 _add("match_undirected", trade_graph,
-     "MATCH (a:Nation)-[r:SELLS_TO]-(b:Nation) WHERE a.key < 5 RETURN a.key AS a, b.key AS b, r.lines AS lines",
-     "WITH t AS (%TRADE%) SELECT a, b, lines FROM t WHERE a < 5 UNION ALL SELECT b, a, lines FROM t WHERE b < 5 AND a <> b")
+     "MATCH (a:Nation)-[r:SELLS_TO]-(b:Nation) RETURN a.key AS a, b.key AS b, r.lines AS lines",
+     "WITH t AS (%TRADE%) SELECT a, b, lines FROM t UNION ALL SELECT b, a, lines FROM t WHERE a <> b")
 _add("match_edge_uniqueness", tpch_graph,
      "MATCH (a:Customer)-[:IN_NATION]->(n:Nation {key: 3})<-[:IN_NATION]-(b:Customer) RETURN count(*) AS pairs",
      "SELECT count(*) AS pairs FROM customer a JOIN customer b ON a.c_nationkey = 3 AND b.c_nationkey = 3 AND a.c_custkey <> b.c_custkey")
@@ -105,11 +105,39 @@ _add("case_simple", tpch_graph, "MATCH (o:Order) RETURN CASE o.status WHEN 'F' T
 _add("case_searched", tpch_graph, "MATCH (p:Part) RETURN CASE WHEN p.size < 10 THEN 'small' WHEN p.size < 30 THEN 'medium' END AS class, count(*) AS n", "SELECT CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' END AS class, count(*) AS n FROM part GROUP BY 1")
 _add("map_projection", tpch_graph, "MATCH (n:Nation) WITH n{.key, label: 'N' + n.name} AS m RETURN m.key AS key, m.label AS label, size(keys(m)) AS n", "SELECT CAST(n_nationkey AS BIGINT) AS key, 'N' || n_name AS label, CAST(2 AS BIGINT) AS n FROM nation")
 _add("string_functions", tpch_graph,
-     "MATCH (p:Part) WHERE p.key < 200 RETURN p.key AS key, upper(left(p.name, 3)) AS a, right(p.name, 2) AS b, substring(p.name, 1, 3) AS c, replace(p.name, 'a', '-') AS d, reverse(p.brand) AS e, size(split(p.kind, ' ')) AS f, trim('  x ') AS g, toLower(p.brand) AS h, p.name CONTAINS '1' AS i, p.name STARTS WITH 'P' AS j, p.brand ENDS WITH '3' AS k",
-     "SELECT p_partkey AS key, upper(left(p_name, 3)) AS a, right(p_name, 2) AS b, substr(p_name, 2, 3) AS c, replace(p_name, 'a', '-') AS d, reverse(p_brand) AS e, CAST(len(string_split(p_type, ' ')) AS BIGINT) AS f, 'x' AS g, lower(p_brand) AS h, contains(p_name, '1') AS i, starts_with(p_name, 'P') AS j, ends_with(p_brand, '3') AS k FROM part WHERE p_partkey < 200")
+     "MATCH (p:Part) RETURN p.key AS key, upper(left(p.name, 3)) AS a, right(p.name, 2) AS b, substring(p.name, 1, 3) AS c, replace(p.name, 'a', '-') AS d, reverse(p.brand) AS e, size(split(p.kind, ' ')) AS f, trim('  x ') AS g, toLower(p.brand) AS h, p.name CONTAINS '1' AS i, p.name STARTS WITH 'P' AS j, p.brand ENDS WITH '3' AS k",
+     "SELECT p_partkey AS key, upper(left(p_name, 3)) AS a, right(p_name, 2) AS b, substr(p_name, 2, 3) AS c, replace(p_name, 'a', '-') AS d, reverse(p_brand) AS e, CAST(len(string_split(p_type, ' ')) AS BIGINT) AS f, 'x' AS g, lower(p_brand) AS h, contains(p_name, '1') AS i, starts_with(p_name, 'P') AS j, ends_with(p_brand, '3') AS k FROM part")
 _add("numeric_functions", tpch_graph,
-     "MATCH (c:Customer) WHERE c.key < 300 RETURN c.key AS key, abs(c.acctbal) AS a, sign(c.acctbal) AS b, ceil(c.acctbal) AS c, floor(c.acctbal) AS d, round(sqrt(abs(c.acctbal)) * 1000) AS e, round(log(c.key + 1) * 1000) AS f, round(sin(c.key) * 1000) AS g, round(power(c.key, 2)) AS h, round(degrees(pi())) AS i",
-     "SELECT c_custkey AS key, abs(c_acctbal) AS a, CAST(sign(c_acctbal) AS BIGINT) AS b, ceil(c_acctbal) AS c, floor(c_acctbal) AS d, round(sqrt(abs(c_acctbal)) * 1000) AS e, round(ln(c_custkey + 1) * 1000) AS f, round(sin(c_custkey) * 1000) AS g, round(pow(c_custkey, 2)) AS h, CAST(180 AS DOUBLE) AS i FROM customer WHERE c_custkey < 300")
+     "MATCH (c:Customer) RETURN c.key AS key, abs(c.acctbal) AS a, sign(c.acctbal) AS b, ceil(c.acctbal) AS c, floor(c.acctbal) AS d, round(sqrt(abs(c.acctbal)) * 1000) AS e, round(log(c.key + 1) * 1000) AS f, round(sin(c.key) * 1000) AS g, round(power(c.key, 2)) AS h, round(degrees(pi())) AS i",
+     "SELECT c_custkey AS key, abs(c_acctbal) AS a, CAST(sign(c_acctbal) AS BIGINT) AS b, ceil(c_acctbal) AS c, floor(c_acctbal) AS d, round(sqrt(abs(c_acctbal)) * 1000) AS e, round(ln(c_custkey + 1) * 1000) AS f, round(sin(c_custkey) * 1000) AS g, round(pow(c_custkey, 2)) AS h, CAST(180 AS DOUBLE) AS i FROM customer")
+_add("trigonometry", tpch_graph,
+     "MATCH (c:Customer) LET x = c.acctbal / 10000.0 RETURN c.key AS key, round(acos(x / 2) * 1000000) AS a, round(asin(x / 2) * 1000000) AS b, round(atan(x) * 1000000) AS c, round(atan2(x, 2.0) * 1000000) AS d, round(cos(x) * 1000000) AS e, round(tan(x) * 1000000) AS f, round(cot(x + 2) * 1000000) AS g, round(exp(x) * 1000000) AS h, round(log10(x * x + 1) * 1000000) AS i, round(radians(x) * 1000000) AS j, round(e() * 1000000) AS k",
+     "SELECT c_custkey AS key, round(acos(x / 2) * 1000000) AS a, round(asin(x / 2) * 1000000) AS b, round(atan(x) * 1000000) AS c, round(atan2(x, 2.0) * 1000000) AS d, round(cos(x) * 1000000) AS e, round(tan(x) * 1000000) AS f, round(cot(x + 2) * 1000000) AS g, round(exp(x) * 1000000) AS h, round(log10(x * x + 1) * 1000000) AS i, round(radians(x) * 1000000) AS j, round(exp(1) * 1000000) AS k FROM (SELECT *, c_acctbal / 10000.0 AS x FROM customer)")
+_add("trimming_and_lists", tpch_graph,
+     "MATCH (p:Part) LET words = split(p.kind, ' ') RETURN p.key AS key, lower(p.brand) AS a, ltrim('  ' + p.name + ' ') AS b, rtrim(' ' + p.name + '  ') AS c, last(words) AS d, isEmpty(p.name) AS e, isEmpty(tail(words)) AS f, size(toList(words)) AS g, reverse(words) AS h, rand() < 1.0 AS i",
+     "SELECT p_partkey AS key, lower(p_brand) AS a, ltrim('  ' || p_name || ' ') AS b, rtrim(' ' || p_name || '  ') AS c, list_last(w) AS d, p_name = '' AS e, len(w) < 2 AS f, CAST(len(w) AS BIGINT) AS g, list_reverse(w) AS h, true AS i FROM (SELECT *, string_split(p_type, ' ') AS w FROM part)")
+_add("entity_functions", tpch_graph,
+     "MATCH (c:Customer)-[r:IN_NATION]->(n:Nation) RETURN c.key AS key, labels(c) AS labels, type(r) AS type, id(startNode(r)) = id(c) AS a, id(endNode(r)) = id(n) AS b, size(keys(n)) AS k, properties(n).name AS name",
+     "SELECT c_custkey AS key, ['Customer'] AS labels, 'IN_NATION' AS type, true AS a, true AS b, CAST(2 AS BIGINT) AS k, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+_add("type_alternation", tpch_graph,
+     "MATCH (x)-[r:IN_NATION|BASED_IN]->(n:Nation) RETURN n.key AS key, type(r) AS type, count(*) AS n",
+     "SELECT CAST(k AS BIGINT) AS key, type, count(*) AS n FROM (SELECT c_nationkey AS k, 'IN_NATION' AS type FROM customer UNION ALL SELECT s_nationkey, 'BASED_IN' FROM supplier) GROUP BY ALL")
+_add("collect_in_order", tpch_graph,
+     "MATCH (n:Nation)-[:IN_REGION]->(r:Region) WITH r, n ORDER BY n.name DESC RETURN r.name AS region, collect(n.key) AS keys",
+     "SELECT r_name AS region, list(CAST(n_nationkey AS BIGINT) ORDER BY n_name DESC) AS keys FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+_add("collect_of_list", tpch_graph, "UNWIND [1, 2, 2, null, 5, 4] AS x RETURN collect(x) AS every, collect(DISTINCT x) AS once, count(DISTINCT x) AS n", "SELECT [CAST(1 AS BIGINT), 2, 2, 5, 4] AS every, [CAST(1 AS BIGINT), 2, 5, 4] AS once, CAST(4 AS BIGINT) AS n")
+_add("temporal_truncate_times", events_graph,
+     "MATCH (u:User) HISTORY u.value FROM datetime('2024-01-01T00:00:00Z') TO datetime('2024-02-01T00:00:00Z') AS s LET t = datetime.fromEpochMillis(s.time / 1000000) RETURN u.key AS key, s.time AS time, toString(datetime.truncate('hour', t)) AS hour, toString(datetime.truncate('day', t)) AS day, t.minute AS minute, t.second AS second",
+     "SELECT user_id AS key, epoch_us(ts) * 1000 AS time, strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:00Z') AS hour, strftime(date_trunc('day', ts), '%Y-%m-%dT00:00Z') AS day, minute(ts) AS minute, second(ts) AS second FROM events WHERE ts >= '2024-01-01' AND ts < '2024-02-01'")
+_add("temporal_durations", tpch_graph,
+     "MATCH (o:Order) LET a = date(o.orderdate), b = date('1999-03-15') RETURN o.key AS key, duration.inMonths(a, b).months AS months, duration.inSeconds(a, b).seconds AS seconds, duration.between(a, b).months AS m",
+     "SELECT o_orderkey AS key, date_sub('month', CAST(o_orderdate AS DATE), DATE '1999-03-15') AS months, date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-03-15') * 86400 AS seconds, date_sub('month', CAST(o_orderdate AS DATE), DATE '1999-03-15') AS m FROM orders")
+_add("temporal_now", tpch_graph,
+     "RETURN date.transaction() = date.statement() AS a, datetime.transaction() <= datetime.realtime() AS b, localdatetime.statement() <= localdatetime.realtime() AS c, time.statement() = time.statement() AS d, localtime.transaction() = localtime.transaction() AS e, date.realtime() >= date('2020-01-01') AS f",
+     "SELECT true AS a, true AS b, true AS c, true AS d, true AS e, true AS f")
+_add("local_times", tpch_graph,
+     "UNWIND ['10:15:30', '23:59:01'] AS s LET t = localtime(s) RETURN s, t.hour AS h, t.minute AS m, t.second AS x, toString(localtime.truncate('minute', t)) AS c, toString(localdatetime('2024-02-29T' + s)) AS l, toString(localdatetime.truncate('hour', localdatetime('2024-02-29T' + s))) AS lh",
+     "SELECT * FROM (VALUES ('10:15:30', CAST(10 AS BIGINT), CAST(15 AS BIGINT), CAST(30 AS BIGINT), '10:15', '2024-02-29T10:15:30', '2024-02-29T10:00'), ('23:59:01', 23, 59, 1, '23:59', '2024-02-29T23:59:01', '2024-02-29T23:00')) v(s, h, m, x, c, l, lh)")
 _add("conversion_functions", tpch_graph,
      "UNWIND ['1', '2.9', 'x', 'true', ' 7 '] AS s RETURN s, toInteger(s) AS i, toFloat(s) AS f, toBoolean(s) AS b, toString(toInteger(s)) AS t, coalesce(toInteger(s), -1) AS c",
      "SELECT * FROM (VALUES ('1', CAST(1 AS BIGINT), CAST(1 AS DOUBLE), NULL, '1', CAST(1 AS BIGINT)), ('2.9', 2, 2.9, NULL, '2', 2), ('x', NULL, NULL, NULL, NULL, -1), ('true', NULL, NULL, true, NULL, -1), (' 7 ', 7, 7, NULL, '7', 7)) t(s, i, f, b, t, c)")
@@ -119,20 +147,20 @@ _add("three_valued_logic", tpch_graph,
      "SELECT a, b, a AND b AS x, a OR b AS y, a <> b AS z, NOT a AS n, a = b AS e FROM (SELECT unnest([true, false, NULL]) AS a), (SELECT unnest([true, false, NULL]) AS b)")
 _add("integer_division_modulo", tpch_graph, "UNWIND [7, -7] AS a UNWIND [3, -3] AS b RETURN a, b, a / b AS q, a % b AS r, a / 2.0 AS f, a ^ 2 AS p", "SELECT a, b, CAST(trunc(a / b) AS BIGINT) AS q, a % b AS r, a / 2.0 AS f, CAST(a * a AS DOUBLE) AS p FROM (SELECT unnest([CAST(7 AS BIGINT), -7]) AS a), (SELECT unnest([CAST(3 AS BIGINT), -3]) AS b)")
 _add("temporal_construct_truncate", tpch_graph,
-     "MATCH (o:Order) WHERE o.key < 500 RETURN o.key AS key, date(o.orderdate) AS d, toString(date.truncate('month', date(o.orderdate))) AS m, toString(date.truncate('quarter', date(o.orderdate))) AS q, toString(date.truncate('week', date(o.orderdate))) AS w, toString(date(o.orderdate) + duration('P1M')) AS n",
-     "SELECT o_orderkey AS key, CAST(o_orderdate AS DATE) AS d, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS m, strftime(date_trunc('quarter', o_orderdate), '%Y-%m-%d') AS q, strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') AS w, strftime(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH, '%Y-%m-%d') AS n FROM orders WHERE o_orderkey < 500")
+     "MATCH (o:Order) RETURN o.key AS key, date(o.orderdate) AS d, toString(date.truncate('month', date(o.orderdate))) AS m, toString(date.truncate('quarter', date(o.orderdate))) AS q, toString(date.truncate('week', date(o.orderdate))) AS w, toString(date(o.orderdate) + duration('P1M')) AS n",
+     "SELECT o_orderkey AS key, CAST(o_orderdate AS DATE) AS d, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS m, strftime(date_trunc('quarter', o_orderdate), '%Y-%m-%d') AS q, strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') AS w, strftime(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH, '%Y-%m-%d') AS n FROM orders")
 _add("temporal_accessors", tpch_graph,
-     "MATCH (o:Order) WHERE o.key < 500 RETURN o.key AS key, o.orderdate.year AS y, o.orderdate.quarter AS q, o.orderdate.month AS m, o.orderdate.week AS w, o.orderdate.ordinalDay AS od, o.orderdate.dayOfWeek AS dw, o.orderdate.hour AS h",
-     "SELECT o_orderkey AS key, year(o_orderdate) AS y, quarter(o_orderdate) AS q, month(o_orderdate) AS m, week(o_orderdate) AS w, dayofyear(o_orderdate) AS od, isodow(o_orderdate) AS dw, hour(o_orderdate) AS h FROM orders WHERE o_orderkey < 500")
+     "MATCH (o:Order) RETURN o.key AS key, o.orderdate.year AS y, o.orderdate.quarter AS q, o.orderdate.month AS m, o.orderdate.week AS w, o.orderdate.ordinalDay AS od, o.orderdate.dayOfWeek AS dw, o.orderdate.hour AS h",
+     "SELECT o_orderkey AS key, year(o_orderdate) AS y, quarter(o_orderdate) AS q, month(o_orderdate) AS m, week(o_orderdate) AS w, dayofyear(o_orderdate) AS od, isodow(o_orderdate) AS dw, hour(o_orderdate) AS h FROM orders")
 _add("duration_between", tpch_graph,
-     "MATCH (o:Order)-[l:CONTAINS]->() WHERE o.key < 300 RETURN o.key AS key, l.line AS line, duration.inDays(date(o.orderdate), date(l.shipdate)).days AS days",
-     "SELECT o_orderkey AS key, CAST(l_linenumber AS BIGINT) AS line, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS days FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 300")
+     "MATCH (o:Order)-[l:CONTAINS]->() RETURN o.key AS key, l.line AS line, duration.inDays(date(o.orderdate), date(l.shipdate)).days AS days",
+     "SELECT o_orderkey AS key, CAST(l_linenumber AS BIGINT) AS line, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS days FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 _add("varlen_1_3", trade_graph,
      "MATCH (a:Nation {key: 0})-[r:SELLS_TO*1..3]->(b:Nation) RETURN b.key AS b, size(r) AS hops, count(*) AS n",
      "WITH RECURSIVE t AS (%TRADE%), p AS (SELECT b, 1 AS hops, [a * 1000 + b] AS ids FROM t WHERE a = 0 UNION ALL SELECT t.b, hops + 1, list_append(ids, t.a * 1000 + t.b) FROM p JOIN t ON p.b = t.a WHERE hops < 3 AND NOT list_contains(ids, t.a * 1000 + t.b)) SELECT b, CAST(hops AS BIGINT) AS hops, count(*) AS n FROM p GROUP BY ALL")
 _add("varlen_zero", trade_graph,
-     "MATCH (a:Nation)-[:SELLS_TO*0..1]->(b:Nation) WHERE a.key < 4 RETURN a.key AS a, b.key AS b",
-     "WITH t AS (%TRADE%) SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(n_nationkey AS BIGINT) AS b FROM nation WHERE n_nationkey < 4 UNION ALL SELECT a, b FROM t WHERE a < 4")
+     "MATCH (a:Nation)-[:SELLS_TO*0..1]->(b:Nation) RETURN a.key AS a, b.key AS b",
+     "WITH t AS (%TRADE%) SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(n_nationkey AS BIGINT) AS b FROM nation UNION ALL SELECT a, b FROM t")
 _add("varlen_distinct_endpoint", trade_graph,
      "MATCH (a:Nation)-[:SELLS_TO*1..4]->(b:Nation) RETURN DISTINCT a.key AS a, b.key AS b",
      "WITH RECURSIVE t AS (%TRADE%), p AS (SELECT a, b, 1 AS h FROM t UNION SELECT p.a, t.b, h + 1 FROM p JOIN t ON p.b = t.a WHERE h < 4) SELECT DISTINCT a, b FROM p")
@@ -145,11 +173,11 @@ _add("path_acyclic", trade_graph,
 _add("path_walk", trade_graph,
      "MATCH REPEATABLE ELEMENTS (a:Nation {key: 2})-[r:SELLS_TO*3..3]->(b:Nation) RETURN b.key AS b, count(*) AS n",
      "WITH t AS (%TRADE%) SELECT z.b, count(*) AS n FROM t x JOIN t y ON x.b = y.a JOIN t z ON y.b = z.a WHERE x.a = 2 GROUP BY 1")
-_SHORT = "WITH RECURSIVE t AS (%TRADE%), p AS (SELECT a, b, 1 AS h FROM t WHERE a < 6 UNION SELECT p.a, t.b, h + 1 FROM p JOIN t ON p.b = t.a WHERE h < 5), d AS (SELECT a, b, min(h) AS h FROM p GROUP BY 1, 2)"
-_add("path_shortest_any", trade_graph, "MATCH p = ANY SHORTEST (a:Nation)-[:SELLS_TO*1..5]->(b:Nation) WHERE a.key < 6 RETURN a.key AS a, b.key AS b, length(p) AS hops", _SHORT + " SELECT a, b, CAST(h AS BIGINT) AS hops FROM d")
+_SHORT = "WITH RECURSIVE t AS (%TRADE%), p AS (SELECT a, b, 1 AS h FROM t UNION SELECT p.a, t.b, h + 1 FROM p JOIN t ON p.b = t.a WHERE h < 5), d AS (SELECT a, b, min(h) AS h FROM p GROUP BY 1, 2)"
+_add("path_shortest_any", trade_graph, "MATCH p = ANY SHORTEST (a:Nation)-[:SELLS_TO*1..5]->(b:Nation) RETURN a.key AS a, b.key AS b, length(p) AS hops", _SHORT + " SELECT a, b, CAST(h AS BIGINT) AS hops FROM d")
 _add("path_shortest_all", trade_graph,
-     "MATCH p = ALL SHORTEST (a:Nation)-[:SELLS_TO*1..5]->(b:Nation) WHERE a.key < 6 RETURN a.key AS a, b.key AS b, length(p) AS hops, count(*) AS n",
-     _SHORT + ", w AS (SELECT a, b, 1 AS h FROM t WHERE a < 6 UNION ALL SELECT w.a, t.b, w.h + 1 FROM w JOIN t ON w.b = t.a WHERE w.h < 5) SELECT d.a, d.b, CAST(d.h AS BIGINT) AS hops, count(*) AS n FROM d JOIN w ON d.a = w.a AND d.b = w.b AND d.h = w.h GROUP BY ALL")
+     "MATCH p = ALL SHORTEST (a:Nation)-[:SELLS_TO*1..5]->(b:Nation) RETURN a.key AS a, b.key AS b, length(p) AS hops, count(*) AS n",
+     _SHORT + ", w AS (SELECT a, b, 1 AS h FROM t UNION ALL SELECT w.a, t.b, w.h + 1 FROM w JOIN t ON w.b = t.a WHERE w.h < 5) SELECT d.a, d.b, CAST(d.h AS BIGINT) AS hops, count(*) AS n FROM d JOIN w ON d.a = w.a AND d.b = w.b AND d.h = w.h GROUP BY ALL")
 _add("path_shortest_k_groups", trade_graph,
      "MATCH p = SHORTEST 2 GROUPS (a:Nation {key: 0})-[:SELLS_TO*1..4]->(b:Nation) RETURN b.key AS b, length(p) AS hops, count(*) AS n",
      "WITH RECURSIVE t AS (%TRADE%), p AS (SELECT b, 1 AS h, [a * 1000 + b] AS ids FROM t WHERE a = 0 UNION ALL SELECT t.b, h + 1, list_append(ids, t.a * 1000 + t.b) FROM p JOIN t ON p.b = t.a WHERE h < 4 AND NOT list_contains(ids, t.a * 1000 + t.b)), r AS (SELECT *, dense_rank() OVER (PARTITION BY b ORDER BY h) AS k FROM p) SELECT b, CAST(h AS BIGINT) AS hops, count(*) AS n FROM r WHERE k <= 2 GROUP BY ALL")
@@ -160,8 +188,8 @@ _add("algo_degree", trade_graph, "CALL graph.degree() YIELD node, outDegree, inD
      "WITH t AS (%TRADE%) SELECT key, o AS outDegree, i AS inDegree, o + i AS degree FROM (SELECT CAST(n_nationkey AS BIGINT) AS key, (SELECT count(*) FROM t WHERE a = n_nationkey) AS o, (SELECT count(*) FROM t WHERE b = n_nationkey) AS i FROM nation)")
 _add("algo_bfs", trade_graph, "MATCH (s:Nation {key: 0}) CALL graph.bfs(s) YIELD node, distance RETURN node.key AS key, distance",
      "WITH RECURSIVE t AS (%TRADE%), p AS (SELECT CAST(0 AS BIGINT) AS v, 0 AS h UNION SELECT t.b, h + 1 FROM p JOIN t ON p.v = t.a WHERE h < 26) SELECT v AS key, CAST(min(h) AS BIGINT) AS distance FROM p GROUP BY 1")
-_add("algo_shortestpath_cost", trade_graph, "MATCH (s:Nation {key: 0}), (e:Nation) WHERE e.key IN [5, 9, 17] CALL graph.shortestpath(s, e) YIELD path, cost RETURN e.key AS key, cost, length(path) AS hops",
-     "WITH RECURSIVE t AS (%TRADE%), p AS (SELECT CAST(0 AS BIGINT) AS v, 0 AS h UNION SELECT t.b, h + 1 FROM p JOIN t ON p.v = t.a WHERE h < 26) SELECT v AS key, CAST(min(h) AS BIGINT) AS cost, CAST(min(h) AS BIGINT) AS hops FROM p WHERE v IN (5, 9, 17) GROUP BY 1")
+_add("algo_shortestpath_cost", trade_graph, "MATCH (s:Nation {key: 0})-[:SELLS_TO*1..3]->(e:Nation) WHERE e.key <> 0 WITH DISTINCT s, e ORDER BY e.key DESC LIMIT 3 CALL graph.shortestpath(s, e) YIELD path, cost RETURN e.key AS key, cost, length(path) AS hops",
+     "WITH RECURSIVE t AS (%TRADE%), p AS (SELECT CAST(0 AS BIGINT) AS v, 0 AS h UNION SELECT t.b, h + 1 FROM p JOIN t ON p.v = t.a WHERE h < 3) SELECT v AS key, CAST(min(h) AS BIGINT) AS cost, CAST(min(h) AS BIGINT) AS hops FROM p WHERE v <> 0 GROUP BY 1 ORDER BY 1 DESC LIMIT 3")
 _add("algo_dijkstra_cost", trade_graph, "MATCH (s:Nation {key: 0}) CALL graph.dijkstra(s, 'rank') YIELD node, cost RETURN node.key AS key, cost",
      'WITH RECURSIVE t AS (%TRADE%), p AS (SELECT CAST(0 AS BIGINT) AS v, CAST(0 AS BIGINT) AS c UNION SELECT t.b, c + t.rank FROM p JOIN t ON p.v = t.a WHERE c + t.rank < 30) SELECT v AS key, CAST(min(c) AS DOUBLE) AS cost FROM p GROUP BY 1')
 _add("algo_wcc", trade_graph, "CALL graph.wcc() YIELD node, component RETURN component, count(*) AS n",
@@ -175,7 +203,9 @@ _UND = "WITH t AS (%TRADE%), e AS (SELECT DISTINCT least(a, b) AS a, greatest(a,
 _add("algo_triangles", trade_graph, "CALL graph.trianglecount() YIELD triangleCount RETURN triangleCount AS triangles", _UND + " SELECT count(*) AS triangles FROM e x JOIN e y ON x.a = y.a AND x.b < y.b JOIN e z ON z.a = x.b AND z.b = y.b")
 _add("algo_clustering", trade_graph, "CALL graph.clusteringcoefficient() YIELD node, coefficient RETURN node.key AS key, round(coefficient * 1000000) / 1000000.0 AS coefficient",
      _UND + ", u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), d AS (SELECT a, count(*) AS d FROM u GROUP BY 1), l AS (SELECT x.a, count(*) AS n FROM u x JOIN u y ON x.a = y.a AND x.b < y.b JOIN u z ON z.a = x.b AND z.b = y.b GROUP BY 1) SELECT CAST(n_nationkey AS BIGINT) AS key, coalesce(CASE WHEN d.d >= 2 THEN round(2.0 * coalesce(n, 0) / (d.d * (d.d - 1)) * 1000000) / 1000000.0 END, 0.0) AS coefficient FROM nation LEFT JOIN d ON d.a = n_nationkey LEFT JOIN l ON l.a = n_nationkey")
-_add("algo_kcore_rows", trade_graph, "CALL graph.kcore() YIELD node, core RETURN node.key AS key, core", None)
+_HINDEX = "c{k} AS (SELECT v, max(least(c, n)) AS c FROM (SELECT u.a AS v, p.c, count(*) OVER (PARTITION BY u.a ORDER BY p.c DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM u JOIN c{j} p ON p.v = u.b) GROUP BY v)"
+_add("algo_kcore", trade_graph, "CALL graph.kcore() YIELD node, core RETURN node.key AS key, core",
+     _UND + ", u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), c0 AS (SELECT a AS v, count(*) AS c FROM u GROUP BY 1), " + ", ".join(_HINDEX.format(k=k, j=k - 1) for k in range(1, 13)) + " SELECT CAST(n_nationkey AS BIGINT) AS key, coalesce(c, 0) AS core FROM nation LEFT JOIN c12 ON v = n_nationkey")
 _add("algo_louvain_rows", trade_graph, "CALL graph.louvain() YIELD node, community RETURN node.key AS key, community", None)
 _add("algo_dfs_rows", trade_graph, "MATCH (s:Nation {key: 0}) CALL graph.dfs(s) YIELD node, order RETURN node.key AS key, order", None)
 _NANOS = "epoch_us(ts) * 1000"
@@ -196,8 +226,8 @@ _add("layer_filter", lambda s, d: _layered(s, d), "USE LAYERS OBSERVED MATCH (c:
 _add("layer_default", lambda s, d: _layered(s, d), "MATCH (c:Customer) RETURN count(*) AS n", "SELECT count(*) AS n FROM customer WHERE c_custkey % 3 < 2")
 _add("traverse_turns", library_graph, "MATCH (a:Turn)-[:NEXT]->(b:Turn) RETURN a.role AS a, b.role AS b, count(*) AS n", "SELECT x.role AS a, y.role AS b, count(*) AS n FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1 GROUP BY ALL")
 _add("vector_functions", library_graph,
-     "MATCH (a:Item {key: 0}), (b:Item) WHERE b.key < 50 RETURN b.key AS key, round(vector.dot(a.embedding, b.embedding) * 10000) AS dot, round(vector.cosine(a.embedding, b.embedding) * 10000) AS cosine, round(vector.distance(a.embedding, b.embedding) * 10000) AS distance, size(vector.normalize(b.embedding)) AS dims",
-     "SELECT b.vec_id AS key, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 10000) AS dot, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 10000) AS cosine, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 10000) AS distance, CAST(len(b.embedding) AS BIGINT) AS dims FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND b.vec_id < 50")
+     "MATCH (a:Item {key: 0}), (b:Item) RETURN b.key AS key, round(vector.dot(a.embedding, b.embedding) * 10000) AS dot, round(vector.cosine(a.embedding, b.embedding) * 10000) AS cosine, round(vector.distance(a.embedding, b.embedding) * 10000) AS distance, size(vector.normalize(b.embedding)) AS dims",
+     "SELECT b.vec_id AS key, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 10000) AS dot, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 10000) AS cosine, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 10000) AS distance, CAST(len(b.embedding) AS BIGINT) AS dims FROM embeddings a, embeddings b WHERE a.vec_id = 0")
 _TEXT_SQL = "SELECT doc_id AS key FROM documents WHERE list_contains(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), 'licensed') AND list_contains(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), 'apache')"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import stored
 from ..model import Graph, NodeTable, RelTable, widened
 
 EARTH_KM = 6371.0
@@ -17,20 +18,21 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(half, F.lit(1.0))))
 
 
-def delimited(spark: SparkSession, path: str, schema: str, sep: str = ",", header: bool = False, comment: str = "#", null: str = "\\N") -> DataFrame:
-    """A delimited file of known columns; ``.gz`` is read as such."""
-    return widened(spark.read.schema(schema).csv(path, sep=sep, header=header, comment=comment, nullValue=null, mode="DROPMALFORMED"))
+def delimited(spark: SparkSession, path: str, schema: str, sep: str = ",", header: bool = False, comment: str = "#", null: str = "\\N", malformed: str = "FAILFAST") -> DataFrame:
+    """A delimited file of known columns; ``.gz`` is read as such. A line that does not fit is an error, unless another mode is given."""
+    return widened(spark.read.schema(schema).csv(path, sep=sep, header=header, comment=comment, nullValue=null, mode=malformed))
 
 
 def edge_graph(edges: DataFrame, label: str, key: str, type_: str, nodes: DataFrame | None = None) -> Graph:
     """A graph of one label and type from edges (src, dst, further columns) between keys.
 
-    Keys are integers and become ids; nodes that no file describes have their key only.
+    Keys are integers and become ids; nodes that no file describes have their key only. Each
+    line is a relationship of its own, parallel ones too: lines are numbered and stored.
     """
     ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).where("id is not null").distinct()
     described = ends if nodes is None else ends.join(nodes, ends["id"] == nodes[key], "full").withColumn("id", F.coalesce("id", key)).drop(key)
     more = [c for c in edges.columns if c not in ("src", "dst")]
-    rels = edges.where("src is not null and dst is not null").withColumn("id", F.xxhash64(*edges.columns) if more else F.xxhash64("src", "dst"))
+    rels = stored(edges.where("src is not null and dst is not null").withColumn("id", F.monotonically_increasing_id()))
     return Graph(edges.sparkSession, (NodeTable(frozenset([label]), described.withColumn(key, F.col("id"))),), (RelTable(type_, rels.select("id", "src", "dst", *more), (label, label)),))
 
 

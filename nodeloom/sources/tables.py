@@ -21,6 +21,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return widened(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def row_id() -> Column:
+    """A number for each row of a file source: 35 bits for the file, by its path, and 28 for the row in the file."""
+    return F.shiftleft(F.xxhash64("_metadata.file_path").bitwiseAND(F.lit((1 << 35) - 1)), 28).bitwiseOR(F.col("_metadata.row_index"))
+
+
 def _nodes(label: str, df: DataFrame, at: str, /, **props: str) -> NodeTable:
     return NodeTable(frozenset([label]), df.select(node_id(label, F.col(at)).alias("id"), *[F.col(c).alias(n) for n, c in props.items()]))
 
@@ -31,9 +36,10 @@ def _rels(type_: str, ends: tuple[str, str], df: DataFrame, src: Column, dst: Co
 
 def tpch_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Regions, nations, customers, suppliers, parts, orders, and how they hang together."""
-    region, nation, customer, supplier, part, orders, lineitem = (read(spark, sf_dir, t) for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"))
+    region, nation, customer, supplier, part, orders = (read(spark, sf_dir, t) for t in ("region", "nation", "customer", "supplier", "part", "orders"))
+    lineitem = widened(spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("_row", row_id()))  # no columns of a line are a key
     c = F.col
-    line = F.xxhash64(*[c(x) for x in lineitem.columns])
+    line = c("_row")
     nodes = (
         _nodes("Region", region, "r_regionkey", key="r_regionkey", name="r_name"),
         _nodes("Nation", nation, "n_nationkey", key="n_nationkey", name="n_name"),
