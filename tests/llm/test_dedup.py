@@ -260,6 +260,53 @@ def test_passages_that_two_functions_agree_on(spark):
     assert two and two <= got and passages.HITS == 2
 
 
+def test_passages_against_all_pairs(spark):
+    """Passages that repeat with edits, beside a sentence that half of the texts hold, copies and repeated words: all pairs by brute force."""
+    rng = random.Random(17)
+    draw = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    sentence, texts = draw(13), []
+    for _ in range(70):
+        base = draw(rng.choice([50, 55, 70, 120, 250]))
+        for _ in range(rng.randint(2, 7)):
+            x = list(base)
+            for _ in range(rng.choice([0, 0, 1, len(base) // 50, len(base) // 25])):
+                i = rng.randrange(len(x))
+                x[i : i + 1] = rng.choice([draw(1), [], draw(2)])
+            texts.append(draw(rng.randint(0, 60)) + x + (sentence if rng.random() < 0.5 else []) + draw(rng.randint(0, 60)))
+    texts += [["the"] * rng.randint(40, 120) + draw(5) for _ in range(20)] + [list(texts[rng.randrange(100)]) for _ in range(30)]
+    rng.shuffle(texts)
+    batch = pa.array([" ".join(t) for t in texts])
+    ((_, n, data, at),) = textops.blocks(batch)
+    docs, got = passages._ordered(data, at, n, 5)
+    ends = np.searchsorted(docs, np.arange(n + 1))
+    seq = [got[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+    holders = defaultdict(set)
+    for i, x in enumerate(seq):
+        for h in set(x.tolist()):
+            holders[h].add(i)
+    near = {(i, j) for held in holders.values() if len(held) < 300 for i in held for j in held if i < j}
+    truth = [(i, j) for i, j in near if passages.shared_passages(seq[i], seq[j], 46, 80)]
+    rows = passages.op8_substring_dedup(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    found = closed(range(n), {(r["doc_id"], r["with_id"]) for r in rows})
+    assert len(truth) > 400 and np.mean([found[i] == found[j] for i, j in truth]) >= 0.99
+    assert all(passages.shared_passages(seq[r["with_id"]], seq[r["doc_id"]], 46, 80) or texts[r["with_id"]] == texts[r["doc_id"]] for r in rows)
+    later = {j for _, j in truth}
+    assert len(later - {r["doc_id"] for r in rows}) <= 0.01 * len(later)
+
+
+def test_passage_places(spark):
+    """Each place of a passage that a text holds several times is found."""
+    rng = random.Random(5)
+    draw = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    p = draw(60)
+    texts = [draw(30) + p + draw(30), draw(10) + p + draw(40) + p + draw(40) + p, p + draw(70) + p]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r["b"], r["b_start"], r["b_end"]) for r in passages.repeated_passages(df).collect()}
+    assert got >= {(1, 10, 70), (1, 110, 170), (1, 210, 270), (2, 0, 60), (2, 130, 190)}
+    clean = {r["doc_id"]: len(r["text"].split()) for r in passages.without_repeats(df).collect()}
+    assert clean == {0: 120, 1: 90, 2: 70}
+
+
 def test_passage_edges(spark):
     docs = edge_docs(spark)
     got = passages.op8_substring_dedup(docs).collect()

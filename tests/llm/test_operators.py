@@ -429,6 +429,56 @@ def test_tool_call_order(spark):
     assert len(want) < len(edges) and want["chain", 299] == 299
 
 
+# Repeated rows, clashing names, long texts and empty tables, for the operators that have no test of these above.
+
+
+def test_toxicity_repeats(spark):
+    """An id with several texts and labels, and rows in any order, give one model; equal texts have equal scores."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    docs = docs.unionByName(docs.where("doc_id < 40").withColumn("text", F.concat("text", F.lit(" more")))).withColumn("spans", F.lit("clash"))
+    one, two = (toxicity.fit(docs.repartition(n), labels.unionByName(labels).repartition(n)) for n in (1, 3))
+    assert np.array_equal(one.hashes, two.hashes) and np.array_equal(one.own, two.own) and np.array_equal(one.scale, two.scale)
+    got = toxicity.score(docs, one, carry=["doc_id", "spans"])
+    assert got.count() == docs.count() and got.select("row.spans").distinct().count() == 1
+    few = toxicity.fit(docs, labels, sample_bytes=50_000)
+    assert 0 < len(few.hashes) < len(one.hashes)
+
+
+def test_whole_texts_are_fitted(spark):
+    """A toxic word far behind 20,000 characters of a labelled text is learnt."""
+    plain = "some quiet words of no harm at all " * 900
+    rows = [(i, plain + (f"vilest grubnik {i}" if i % 2 else f"kindest friend {i}"), i % 2) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = toxicity.op2_toxicity(docs, labels).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in got)
+
+
+def test_urls_repeats(spark):
+    long = "http://example.org/" + "a" * 100_000
+    pages = spark.createDataFrame([(1, long, "x", "y"), (1, long, "x", "y"), (2, None, None, None)], "page_id long, url string, verdict string, score string")
+    got = url_filter.op7_url_filter(pages).collect()
+    assert len(got) == 3 and {len(r["path"]) for r in got} == {100_001, 0} and len({r["verdict"] for r in got if r["page_id"] == 1}) == 1
+
+
+def test_pieces_repeats(spark):
+    docs = spark.createDataFrame([(1, "one text", "x")] * 3 + [(1, "other", "x")], "doc_id long, text string, n_tokens string")
+    got = pieces.op9_sentencepiece(docs).collect()
+    assert len(got) == 4 and len({tuple(r["token_ids"]) for r in got}) == 2 and all(r["round_trip"] for r in got)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null, empty, repeated and long rows, a clashing column, and the empty table, through all stages."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string"
+    rows = [(1, None, None, None, None, "c"), (2, "", "en", "s", 0, "c"), (3, "same words here " * 9, "en", "s", 1, "c"), (3, "same words here " * 9, "en", "s", 1, "c"), (4, "long " * 60_000, "en", "t", 1, None), (None, "no id at all but words", "en", "t", 1, "c")]
+    for n, table_rows in enumerate((rows, [])):
+        where = f"{tmp_path}/{n}"
+        spark.createDataFrame(table_rows, schema).write.parquet(f"{where}/documents.parquet")
+        spark.createDataFrame([(3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+        got = corpus_pipeline.run(spark, where).collect()
+        assert all(r["round_trip"] for r in got) and (bool(got) == bool(table_rows))
+
+
 # The pipeline.
 
 
