@@ -65,8 +65,9 @@ def vector_search(items: DataFrame, query: list[float], limit: int, measure: str
 
 
 def terms(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Lower-case runs of letters and digits of the text in compatibility form (NFKC), as those of a query."""
+    wide = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.filter(F.split(F.lower(F.when(text.rlike(r"[^\x00-\x7F]"), wide).otherwise(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def query_terms(text: str) -> list[str]:

@@ -267,8 +267,14 @@ def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = library_graph(spark, sf_dir).with_(indexes={"texts": {"kind": "text", "label": "Document", "prop": "text"}})
-    return g.cypher("MATCH (d:Document) SEARCH d IN (TEXT INDEX texts FOR HYBRID TEXT 'apache license' LIMIT 20) SCORE AS s RETURN d.key AS key, s AS score")
+    """Documents that have an embedding, by the reciprocal ranks of both branches."""
+    g = library_graph(spark, sf_dir)
+    docs = next(t for t in g.nodes if "Document" in t.labels)
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("key"), "embedding")
+    g = g.with_(nodes=(type(docs)(frozenset(["Paper"]), docs.df.join(vectors, "key")),), rels=())
+    g = g.with_(indexes={"papers": {"kind": "vector", "label": "Paper", "prop": "embedding", "text": "text", "similarity": "cosine"}})
+    probe = [float(x) for x in g.cypher("MATCH (p:Paper {key: 7}) RETURN p.embedding AS e").first()["e"]]
+    return g.cypher("MATCH (p:Paper) SEARCH p IN (VECTOR INDEX papers FOR HYBRID TEXT 'apache license' VECTOR $v LIMIT 20) SCORE AS s RETURN p.key AS key, s AS score", v=probe)
 
 
 def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from nodeloom.plans.tree import QueryError
 from nodeloom.streaming.logs import lag, read_log, routed, windowed
 
 SF = "/root/testdata/sf0.001"
-NAMES = [n for n in queries.oracle_sql() if n.startswith(("match", "opt", "ex", "not", "agg", "with", "list", "string", "temporal", "varlen_1", "path_sh", "history", "at_t", "window", "layer", "vector", "text", "algo_deg"))]
+NAMES = [n for n in queries.oracle_sql() if n.startswith(("match", "opt", "ex", "not", "agg", "with", "list", "string", "temporal", "varlen_1", "path_sh", "trig", "trim", "entity", "type_alt", "collect", "local", "history", "at_t", "window", "layer", "vector", "text", "algo_deg"))]
 
 
 def plain(v):
@@ -98,6 +98,24 @@ def test_search(spark):
     assert {r["id"]: r["score"] for r in fused([one, two], 5).collect()} == {1: pytest.approx(1 / 61), 2: pytest.approx(1 / 61)}
 
 
+def test_search_recall(spark):
+    """What prefix and quantised search find of the exact ten, on vectors in clusters; texts in compatibility form."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 32))
+    rows = [(i, (centres[i % 20] + 0.15 * rng.normal(size=32)).tolist()) for i in range(800)]
+    items = spark.createDataFrame(rows, "id long, vector array<double>").cache()
+    for method, least in (("prefix", 0.7), ("quantized", 0.7), ("adaptive", 0.7)):
+        hits = 0
+        for i in range(5):
+            exact, got = ({r["id"] for r in vector_search(items, rows[i][1], 10, "cosine", m).collect()} for m in ("exact", method))
+            hits += len(exact & got)
+        assert hits >= least * 50, method
+    wide = spark.createDataFrame([(1, "Ｇｒａｐｈ ﬁle"), (2, "graph")], "id long, text string")
+    assert [r["id"] for r in text_search(wide, "graph file").collect()] == [1]
+
+
 def test_windows(spark):
     day = 86_400 * 10**9
     at = spark.createDataFrame([(-1,), (0,), (5 * day + 1,)], "t long")

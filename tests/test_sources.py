@@ -8,7 +8,7 @@ import pytest
 from nodeloom.model import Graph
 from nodeloom.plans.tree import QueryError
 from nodeloom.sources import datasets, results, snapshots
-from nodeloom.sources.tables import events_graph
+from nodeloom.sources.tables import events_graph, tpch_graph
 
 
 def test_snapshot(spark, tmp_path):
@@ -39,6 +39,22 @@ def test_delimited(spark, tmp_path):
     assert datasets.social(spark, f"{tmp_path}/friends").cypher("MATCH (a:Person)-[:FRIEND*2]->(b) RETURN b.person_id AS b").first()[0] == 3
 
 
+def test_parallel_edges(spark, tmp_path):
+    """Equal lines are relationships of their own; a line that does not fit is an error."""
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 3)], "src long, dst long")
+    graph = datasets.edge_graph(edges, "P", "key", "E")
+    assert graph.cypher("MATCH (a)-[r]->(b)<-[q]-(c) RETURN count(*) AS n").first()["n"] == 2
+    assert graph.cypher("MATCH (a)-[r]->(b) RETURN count(DISTINCT id(r)) AS n").first()["n"] == 3
+    (tmp_path / "bad.txt").write_text("1 2\n3 x\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        datasets.social(spark, str(tmp_path / "bad.txt")).cypher("MATCH (a)-[r]->(b) RETURN id(a) AS a").collect()
+
+
+def test_row_ids(spark):
+    lines = tpch_graph(spark, "/root/testdata/sf0.001").cypher("MATCH (:Order)-[l:CONTAINS]->(:Part) RETURN count(*) AS n, count(DISTINCT id(l)) AS ids").first()
+    assert lines["n"] == lines["ids"] > 5000
+
+
 def test_ndjson(spark):
     df = Graph(spark).cypher("UNWIND range(1, 5) AS x RETURN x, 'é' AS s")
     lines = [json.loads(x) for x in results.ndjson(df, batch=2)]
