@@ -37,23 +37,23 @@ def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.withColumn("degree", F.col("outDegree") + F.col("inDegree"))
 
 
-def levels(nodes: DataFrame, edges: DataFrame, source: int, target: int | None = None) -> list[DataFrame]:
+def levels(nodes: DataFrame, edges: DataFrame, source: int, targets: set[int] | None = None) -> list[DataFrame]:
     """Stored tables (id, distance, parent) of what ``source`` reaches, by distance; the parent is the smallest on a shortest path.
 
-    Ends at the level of ``target``, if that is given and reached.
+    Ends where the last of ``targets`` is reached, if they are given.
     """
     walk = stored(edges.select("src", "dst").distinct())
     out = [stored(nodes.where(F.col("id") == source).select("id", F.lit(0).cast("long").alias("distance"), F.lit(None).cast("long").alias("parent")))]
-    seen = out[0].select("id")
-    while target != source:
+    seen, left = out[0].select("id"), None if targets is None else set(targets) - {source}
+    while left is None or left:
         step = out[-1].join(walk, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         front = stored(step.join(seen, "id", "left_anti").select("id", F.lit(len(out)).cast("long").alias("distance"), "parent"))
         if front.isEmpty():
             forget(front)
             break
         out.append(front)
-        if target is not None and not front.where(F.col("id") == target).isEmpty():
-            break
+        if left is not None:
+            left -= {r["id"] for r in front.where(F.col("id").isin(list(left))).select("id").collect()}
         now = stored(seen.union(front.select("id")))
         forget(seen)
         seen = now
@@ -69,14 +69,15 @@ def bfs(nodes: DataFrame, edges: DataFrame, source: int) -> DataFrame:
     return out.select("id", "distance")
 
 
-def shortest_path(nodes: DataFrame, edges: DataFrame, source: int, target: int) -> list[int] | None:
-    """Ids of the nodes of a shortest path; None without one. The path is as long as the answer: one job walks it back."""
-    *before, last = levels(nodes, edges, source, target)
-    row = last.where(F.col("id") == target).select(F.col("id").alias("n0"), F.col("parent").alias("up"))  # one row, or none
-    for i, level in enumerate(reversed(before), 1):
-        row = F.broadcast(row).join(level.select(F.col("id").alias(f"n{i}"), F.col("parent").alias("_up")), F.col("up") == F.col(f"n{i}")).drop("up").withColumnRenamed("_up", "up")
-    found = row.drop("up").first()
-    return None if found is None else [found[f"n{i}"] for i in range(len(before), -1, -1)]
+def shortest_paths(nodes: DataFrame, edges: DataFrame, source: int, targets: set[int]) -> dict[int, list[int]]:
+    """Target -> ids of the nodes of a shortest path, of the targets that are reached: one search, and one job for each length of a path."""
+    found, out = levels(nodes, edges, source, targets), {}
+    for n, level in enumerate(found):
+        rows = level.where(F.col("id").isin(list(targets))).select(F.col("id").alias("n0"), F.col("parent").alias("up"))  # a row for each target, at most
+        for i, before in enumerate(reversed(found[:n]), 1):
+            rows = F.broadcast(rows).join(before.select(F.col("id").alias(f"n{i}"), F.col("parent").alias("_up")), F.col("up") == F.col(f"n{i}")).drop("up").withColumnRenamed("_up", "up")
+        out |= {r["n0"]: [r[f"n{i}"] for i in range(n, -1, -1)] for r in rows.drop("up").collect()}
+    return out
 
 
 def dfs(nodes: DataFrame, edges: DataFrame, source: int) -> DataFrame:

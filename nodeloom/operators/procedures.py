@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..lineage import stored
 from ..plans.tree import Clause, Expr, QueryError
 from ..plans.values import LONG, NodeT, PathT, RelT, Value, equal, kind
 from . import algorithms as A
@@ -27,11 +28,16 @@ SIGNATURES = {
 }
 
 
-def run(ctx, name: str, args: tuple) -> DataFrame:
+def _edges(ctx) -> DataFrame:
+    """The relationships between nodes of the graph."""
+    scan = ctx.graph.node_scan([]).select("id")
+    return ctx.graph.rel_scan([]).join(scan.select(F.col("id").alias("src")), "src", "left_semi").join(scan.select(F.col("id").alias("dst")), "dst", "left_semi")
+
+
+def run(ctx, name: str, args: tuple, inside: DataFrame | None = None) -> DataFrame:
     """The procedure's rows; nodes as ids."""
     scan = ctx.graph.node_scan([]).select("id")
-    edges = ctx.graph.rel_scan([])
-    inside = edges.join(scan.select(F.col("id").alias("src")), "src", "left_semi").join(scan.select(F.col("id").alias("dst")), "dst", "left_semi")
+    inside = _edges(ctx) if inside is None else inside
     e = inside.select("src", "dst")
     if name == "graph.degree":
         return A.degree(scan, e)
@@ -52,10 +58,9 @@ def run(ctx, name: str, args: tuple) -> DataFrame:
     return {"graph.wcc": A.wcc, "graph.scc": A.scc, "graph.louvain": A.louvain, "graph.clusteringcoefficient": A.clustering, "graph.kcore": A.kcore}[name](scan, e)
 
 
-def shortest(ctx, source: int, target: int) -> DataFrame:
-    """path, cost: one row, or none without a path."""
+def shortest(ctx, ids: list[int] | None) -> DataFrame:
+    """path, cost of the nodes on a path: one row, or none without a path."""
     nodes, rels = ctx.node_structs(), ctx.graph.rel_scan([])
-    ids = A.shortest_path(ctx.graph.node_scan([]).select("id"), rels.select("src", "dst"), source, target)
     spark = ctx.graph.spark
     steps = spark.createDataFrame([(i, x) for i, x in enumerate(ids or [])], "i long, id long")
     pairs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(ids or [], (ids or [])[1:]))], "i long, src long, dst long")
@@ -104,10 +109,16 @@ def call(ctx, rows, c: Clause, standalone: bool):
         else:
             tuples, keyed = [()], rows
     frames = []
+    if any(x is None for t in tuples for x in t):
+        raise QueryError(f"InvalidArgumentValue: {d['name']} takes no null")
+    inside = stored(_edges(ctx)) if len(tuples) > 1 else None  # for all calls
+    paths: dict[tuple, list[int]] = {}
+    if name == "graph.shortestpath":  # one search for all targets of a source
+        for source in {t[0] for t in tuples}:
+            found = A.shortest_paths(ctx.graph.node_scan([]).select("id"), _edges(ctx) if inside is None else inside, source, {t[1] for t in tuples if t[0] == source})
+            paths |= {(source, target): ids for target, ids in found.items()}
     for t in tuples:
-        if any(x is None for x in t):
-            raise QueryError(f"InvalidArgumentValue: {d['name']} takes no null")
-        got = shortest(ctx, *t) if name == "graph.shortestpath" else run(ctx, name, t)
+        got = shortest(ctx, paths.get(t)) if name == "graph.shortestpath" else run(ctx, name, t, inside)
         frames.append(got.withColumns({f"_key{i}": F.lit(x) for i, x in enumerate(t)}))
     if not frames:
         frames = [run(ctx, "graph.degree", ()).limit(0)] if name == "graph.degree" else []
