@@ -314,6 +314,19 @@ def test_passage_edges(spark):
     assert passages.without_repeats(docs).columns == docs.columns and passages.op8_substring_dedup(docs.limit(0)).count() == 0
 
 
+def test_surroundings():
+    """Different shingles around each place, and of the poorest window that holds it."""
+    rng = np.random.default_rng(0)
+    run, got = np.repeat([0, 1, 2, 3], [100, 60, 80, 9]), rng.integers(0, 30, 249).astype(np.uint64)
+    before, node, n = passages._before(run, got), np.arange(249), 249
+    low = passages._poorest(run, before, node, 46)
+    count, fresh, _ = passages._surroundings(run, got, before, node, 57)
+    for i in range(n):
+        windows = [len(set(got[s : s + 46].tolist())) for s in range(max(0, i - 45), i + 1) if s + 46 <= n and run[s] == run[s + 45]]
+        near = [j for j in range(max(0, i - 57), min(n, i + 58)) if run[j] == run[i]]
+        assert (low[i], count[i], fresh[i]) == (min(windows, default=0), len(near), len(set(got[near].tolist())))
+
+
 def test_compact_windows():
     """Each sliding window's minimum is the node of the compact window that holds it."""
     rng = np.random.default_rng(1)
