@@ -446,8 +446,8 @@ def test_toxicity_repeats(spark):
 
 def test_whole_texts_are_fitted(spark):
     """A toxic word far behind 20,000 characters of a labelled text is learnt."""
-    plain = "some quiet words of no harm at all " * 900
-    rows = [(i, plain + (f"vilest grubnik {i}" if i % 2 else f"kindest friend {i}"), i % 2) for i in range(200)]
+    plain = "some quiet words of no harm at all " * 600
+    rows = [(i, plain + (f"vilest grubnik {i}" if i % 2 else f"kindest friend {i}"), i % 2) for i in range(60)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     got = toxicity.op2_toxicity(docs, labels).collect()
