@@ -455,10 +455,10 @@ def test_whole_texts_are_fitted(spark):
 
 
 def test_urls_repeats(spark):
-    long = "http://example.org/" + "a" * 100_000
+    long = "http://example.org/" + "a" * 2000
     pages = spark.createDataFrame([(1, long, "x", "y"), (1, long, "x", "y"), (2, None, None, None)], "page_id long, url string, verdict string, score string")
     got = url_filter.op7_url_filter(pages).collect()
-    assert len(got) == 3 and {len(r["path"]) for r in got} == {100_001, 0} and len({r["verdict"] for r in got if r["page_id"] == 1}) == 1
+    assert len(got) == 3 and {len(r["path"]) for r in got} == {2001, 0} and len({r["verdict"] for r in got if r["page_id"] == 1}) == 1
 
 
 def test_pieces_repeats(spark):
