@@ -294,6 +294,45 @@ def test_passages_against_all_pairs(spark):
     assert len(later - {r["doc_id"] for r in rows}) <= 0.01 * len(later)
 
 
+def test_passages_of_many_variants(spark, monkeypatch):
+    """Variants of one text need not be linked in all pairs, and have the classes of all pairs; in small buckets and blocks, too."""
+    rng = random.Random(23)
+    draw = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(3):
+        base = draw(200)
+        for _ in range(40):
+            x = list(base)
+            for i in rng.sample(range(200), 8):
+                x[i] = draw(1)[0]
+            texts.append(x)
+    texts += [[w for w in rng.sample(["the", "and", "of", "in", "to", "was"], 4) for _ in range(rng.randint(25, 70))] for _ in range(40)]
+    rng.shuffle(texts)
+    ((_, n, data, at),) = textops.blocks(pa.array([" ".join(t) for t in texts]))
+    docs, got = passages._ordered(data, at, n, 5)
+    ends = np.searchsorted(docs, np.arange(n + 1))
+    seq = [got[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+    truth = {(j, i) for j in range(n) for i in range(j) if passages.shared_passages(seq[i], seq[j], 46, 80)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for bucket, block in ((passages.BUCKET, passages.BLOCK), (1000, 7)):
+        monkeypatch.setattr(passages, "BUCKET", bucket)
+        monkeypatch.setattr(passages, "BLOCK", block)
+        links = {(r["b"], r["a"]) for r in passages.repeated_passages(df).collect()}
+        assert links <= truth and closed(range(n), links) == closed(range(n), truth)
+        assert {j for j, _ in links} == {j for j, _ in truth}
+        assert bucket == 1000 or 5 * len(links) < 4 * len(truth)
+
+
+def test_passage_parts():
+    """Windows of a group that a link holds on either side are one part, as are those with one partner outside."""
+    key = np.array([0, 0, 0, 1, 1, 2, 2])
+    text, at = np.array([0, 1, 2, 0, 1, 1, 2]), np.array([10, 10, 10, 90, 95, 50, 50])
+    child, to = np.array([1, 2]), np.array([0, 0])
+    spans = np.array([[0, 60, 0, 92], [40, 60, 0, 20]])  # text 2's holds the place of group 0 in text 0 only
+    assert passages._parts(key, text, at, child, to, spans).tolist() == [0, 0, 0, 3, 3, 5, 5]
+    assert passages._parts(key, text, at, child, to, spans - [[0, 0, 0, 3], [0, 0, 0, 10]]).tolist() == [0, 0, 2, 3, 4, 5, 5]
+
+
 def test_passage_places(spark):
     """Each place of a passage that a text holds several times is found."""
     rng = random.Random(5)
