@@ -198,48 +198,91 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return _fit(found["text"], (found["toxic"].to_numpy() > 0).astype(int), total)
 
 
+class _Sorts:
+    """The words of blocks of whole documents: their hashes, and how many documents of either class hold each hash."""
+
+    def __init__(self) -> None:
+        self.kinds, self.counts, self.held = [], [], 0
+
+    def add(self, h: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of the block's different words, place among them of each token)."""
+        own, one, of = np.unique(h[0], return_index=True, return_inverse=True)
+        hashes = h[:, one]
+        self.kinds.append(hashes)
+        names, at = np.unique(hashes, return_inverse=True)
+        at = at.reshape(hashes.shape)
+        pairs = np.unique(of * np.int64(len(y) + 1) + doc)
+        kind, docs = pairs // (len(y) + 1), pairs % (len(y) + 1)
+        cells = np.unique(at[:, kind] * np.int64(len(y)) + docs) if len(pairs) else np.zeros(0, np.int64)
+        hit1 = np.bincount(cells // len(y), y[cells % len(y)], len(names)).astype(np.int64)
+        self.counts.append((names, np.bincount(cells // len(y), minlength=len(names)) - hit1, hit1))
+        self.held += len(names)
+        if self.held > 2 * len(self.counts[0][0]) + CHUNK:
+            self._merge()
+        return own, of.astype(np.int32)
+
+    def _merge(self) -> None:
+        names, at = np.unique(np.concatenate([c[0] for c in self.counts]), return_inverse=True)
+        self.counts = [(names, *(np.bincount(at, np.concatenate([c[i] for c in self.counts]), len(names)).astype(np.int64) for i in (1, 2)))]
+        hashes = np.concatenate(self.kinds, axis=1)
+        self.kinds = [hashes[:, np.unique(hashes[0], return_index=True)[1]]]
+        self.held = len(names)
+
+    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted hashes of words and beginnings, documents of class 0, of class 1 that hold each)."""
+        self._merge()
+        return self.counts[0]
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted hashes of all words, the hashes of each: of the word, then of its beginnings)."""
+        return self.kinds[0][0], self.kinds[0]
+
+
 def _fit(texts: pa.ChunkedArray, y: np.ndarray, total: dict[int, int]) -> Model:
     n1, n0 = int(y.sum()), int((1 - y).sum())
     prior = (total.get(1, 0) + 0.5) / (sum(total.values()) + 1.0)
     blank = Model(np.zeros(0, np.uint64), np.zeros(1), np.zeros(1), np.zeros(1), -9.0, np.zeros((2, 2)), 0.0, np.array([0, 0, 0, np.log(prior / (1 - prior))]))
     if not n1 or not n0:
         return blank
-    parts, base = [], 0
+    # A token is kept as the number of its word; all that else is asked of it depends on its word only.
+    sorts, seen_in, base = _Sorts(), [], 0
     for chunk in texts.chunks:
-        for first, _, data, at in blocks(chunk):
+        for first, n, data, at in blocks(chunk):
             doc, _, _, h = _tokens(data, at)
-            parts.append((doc + base + first, h))
+            seen_in.append((doc.astype(np.int32) + np.int32(base + first), *sorts.add(h, doc, y[base + first : base + first + n])))
         base += len(chunk)
-    doc, h = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts], axis=1)
-    if not len(doc):
+    if not any(len(doc) for doc, _, _ in seen_in):
         return blank
-    vocab, ids = np.unique(h, return_inverse=True)
-    ids = ids.reshape(h.shape).astype(np.int64)
-    cells = np.unique(ids * len(y) + doc)
-    hit1 = np.bincount(cells // len(y), y[cells % len(y)], len(vocab))
-    hit0 = np.bincount(cells // len(y), minlength=len(vocab)) - hit1
+    names, hit0, hit1 = sorts.hits()
     share = (hit1 + hit0) / len(y)
     z = (hit1 / n1 - hit0 / n0) / np.sqrt(np.maximum(share * (1 - share), 0.5 / len(y)) * (1 / n1 + 1 / n0))
-    chosen = np.flatnonzero((hit1 + hit0 >= 3) & (vocab != 0))
-    times = np.full(len(vocab), RATIO)
-    times[np.unique(ids[1:])] = RATIO_BEGINNING
-    bad = (z >= 4) & (hit1 / n1 >= times * (hit0 + 0.5) / n0) & (vocab != 0)
-    lexicon, v = vocab[chosen], len(chosen)
-    place = np.full(len(vocab), v)
+    chosen = np.flatnonzero((hit1 + hit0 >= 3) & (names != 0))
+    kinds, hashes = sorts.words()
+    places = np.searchsorted(names, hashes)
+    times = np.full(len(names), RATIO)
+    times[np.unique(places[1:])] = RATIO_BEGINNING
+    bad = (z >= 4) & (hit1 / n1 >= times * (hit0 + 0.5) / n0) & (names != 0)
+    lexicon, v = names[chosen], len(chosen)
+    place = np.full(len(names), v, np.int32)
     place[chosen] = np.arange(v)
-    target = (bad[ids].any(axis=0) & (y[doc] == 1)).astype(float)
-    ids = place[ids].astype(np.int32)
+    toxic, lists = bad[places].any(axis=0), place[places]
+    doc = np.concatenate([d for d, _, _ in seen_in])
+    word = np.concatenate([np.searchsorted(kinds, own).astype(np.int32)[of] for _, own, of in seen_in])
+    target = toxic[word] & (y[doc] == 1)
     first = np.r_[True, doc[1:] != doc[:-1]]
     # Chunks of whole documents, so that a step's arrays stay small.
     heads, cuts = np.flatnonzero(first), [0]
     for at in heads[1:]:
         if at - cuts[-1] > CHUNK:
             cuts.append(int(at))
-    chunks = []
-    for lo, hi in zip(cuts, [*cuts[1:], len(doc)], strict=True):
-        before, after = _shifted(ids[:, lo:hi], first[lo:hi], v)
-        chunks.append((slice(lo, hi), ids[:, lo:hi], before.astype(np.int32), after.astype(np.int32), first[lo:hi], target[lo:hi]))
-    del h, cells, vocab
+    del sorts, seen_in, names, hit0, hit1, share, z, chosen, places, times, bad, place
+    give_back()
+
+    def chunks() -> Iterator[tuple[np.ndarray, ...]]:
+        """(word, id of the word before, of the word after, first, target) of the tokens of each chunk."""
+        for lo, hi in zip(cuts, [*cuts[1:], len(doc)], strict=True):
+            yield word[lo:hi], *_shifted(lists[:1, word[lo:hi]], first[lo:hi], v), first[lo:hi], target[lo:hi].astype(float)
+
     # theta: own, before, after (each with the weight of other words, held at 0), bias, start, transitions
     size = 3 * (v + 1) + 2 + 4
     theta, m1, m2 = np.zeros(size), np.zeros(size), np.zeros(size)
@@ -252,16 +295,18 @@ def _fit(texts: pa.ChunkedArray, y: np.ndarray, total: dict[int, int]) -> Model:
         bias, start, trans = theta[3 * v + 3], theta[3 * v + 4], theta[3 * v + 5 :].reshape(2, 2)
         grad = np.zeros(size)
         grad[3 * v + 5 :] = seen.ravel()
-        for _, own, before, after, heads, goal in chunks:
-            p, pair = _marginals(bias + theta[own].sum(axis=0) + theta[v + 1 + before] + theta[2 * v + 2 + after], heads, trans, start)
+        own, late = theta[lists].sum(axis=0), np.zeros(lists.shape[1])
+        for at, before, after, heads, goal in chunks():
+            p, pair = _marginals(bias + own[at] + theta[v + 1 + before] + theta[2 * v + 2 + after], heads, trans, start)
             err = goal - p
-            for row in own:
-                grad[: v + 1] += np.bincount(row, err, v + 1)
+            late += np.bincount(at, err, len(late))
             grad[v + 1 : 2 * v + 2] += np.bincount(before, err, v + 1)
             grad[2 * v + 2 : 3 * v + 3] += np.bincount(after, err, v + 1)
             grad[3 * v + 3] += err.sum()
             grad[3 * v + 4] += err[heads].sum()
             grad[3 * v + 5 :] -= pair.ravel()
+        for row in lists:
+            grad[: v + 1] += np.bincount(row, late, v + 1)
         grad[[v, 2 * v + 1, 3 * v + 2]] = 0
         grad[3 * v + 5] = 0  # plain to plain: the scale that the others are relative to
         grad -= 0.2 * theta
@@ -269,9 +314,10 @@ def _fit(texts: pa.ChunkedArray, y: np.ndarray, total: dict[int, int]) -> Model:
         theta += 0.25 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-3)
     model.own, model.before, model.after = theta[: v + 1].copy(), theta[v + 1 : 2 * v + 2].copy(), theta[2 * v + 2 : 3 * v + 3].copy()
     model.bias, model.start, model.trans = float(theta[3 * v + 3]), float(theta[3 * v + 4]), theta[3 * v + 5 :].reshape(2, 2).copy()
-    p = np.concatenate([_marginals(_evidence(model, c[1], c[4]), c[4], model.trans, model.start)[0] for c in chunks])
+    p = np.concatenate([_marginals(_evidence(model, lists[:, c[0]], c[3]), c[3], model.trans, model.start)[0] for c in chunks()])
     weight = np.where(y == 1, total[1] / n1, total[0] / n0)
     model.scale = _logistic(_sums(p, doc, len(y)), y, weight / weight.mean())
+    give_back()
     return model
 
 

@@ -4,9 +4,11 @@ import json
 import math
 import random
 import re
+import tracemalloc
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -454,6 +456,20 @@ def test_whole_texts_are_fitted(spark):
     assert all(r["predicted"] == r["doc_id"] % 2 for r in got)
 
 
+def test_fitting_takes_little_memory(monkeypatch):
+    """The driver keeps a number for each token, not its hashes: 64 MB of texts are to fit beside Spark."""
+    rng = np.random.default_rng(5)
+    y = np.arange(1200) % 2
+    texts = [" ".join(f"word{w}" for w in rng.integers(0, 3000, 500)) + " vile" * int(t) for t in y]
+    monkeypatch.setattr(toxicity, "STEPS", 2)
+    tracemalloc.start()
+    model = toxicity._fit(pa.chunked_array([texts[:700], texts[700:]]), y, {0: 600, 1: 600})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.hashes) > 3000 and model.scale.shape == (4,)
+    assert peak < 80 * 600_000  # bytes
+
+
 def test_urls_repeats(spark):
     long = "http://example.org/" + "a" * 2000
     pages = spark.createDataFrame([(1, long, "x", "y"), (1, long, "x", "y"), (2, None, None, None)], "page_id long, url string, verdict string, score string")
