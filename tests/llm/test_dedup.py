@@ -323,6 +323,19 @@ def test_passages_of_many_variants(spark, monkeypatch):
         assert bucket == 1000 or 5 * len(links) < 4 * len(truth)
 
 
+def test_sequences_made_ready():
+    """What is sorted once for a text serves all its comparisons, with the same passages, repeated shingles or not."""
+    rng = np.random.default_rng(8)
+    seq = [rng.integers(0, high, 300).astype(np.uint64) for high in (1 << 40, 90, 20)]
+    seq += [np.concatenate([s[40:120], rng.integers(0, 1 << 40, 60).astype(np.uint64), s[:200], s[40:120]]) for s in seq]
+    ready = [passages._ready(s) for s in seq]
+    plain = {(i, j): passages.shared_passages(seq[i], seq[j], 46, 80) for i in range(6) for j in range(6)}
+    assert sum(map(bool, plain.values())) > 6  # others than each with itself
+    assert all(passages.shared_passages(seq[i], seq[j], 46, 80, None, None, ready[i], ready[j]) == found for (i, j), found in plain.items())
+    empty = np.zeros(0, np.uint64)
+    assert passages.shared_passages(seq[0], empty, 46, 80, None, None, ready[0]) == passages.shared_passages(empty, seq[0], 46, 80, None, None, None, ready[0]) == []
+
+
 def test_passage_parts():
     """Windows of a group that a link holds on either side are one part, as are those with one partner outside."""
     key = np.array([0, 0, 0, 1, 1, 2, 2])
