@@ -336,6 +336,55 @@ def test_sequences_made_ready():
     assert passages.shared_passages(seq[0], empty, 46, 80, None, None, ready[0]) == passages.shared_passages(empty, seq[0], 46, 80, None, None, None, ready[0]) == []
 
 
+def test_settled_links_add_to_what_is_known():
+    """Of many variants of a text, only links that cover a place first, or join classes; with the classes and places of all pairs."""
+    rng = random.Random(31)
+    draw = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    base, texts = draw(300), []
+    for _ in range(80):
+        x = list(base)
+        for i in rng.sample(range(300), 9):
+            x[i] = draw(1)[0]
+        texts.append(x)
+    ids, n = pa.array(range(80)), 80
+    batch = pa.RecordBatch.from_arrays([ids, pa.array([" ".join(t) for t in texts])], ["id", "text"])
+    keys = pa.Table.from_batches(list(passages._window_keys(5, 46)(iter([batch]))))
+    windows = keys.append_column("block", pa.array([-1] * len(keys))).append_column("cell", pa.array([0] * len(keys)))
+    ((_, _, data, at),) = textops.blocks(batch.column(1))
+    docs, got = passages._ordered(data, at, n, 5)
+    seq = [got[docs == i] for i in range(n)]
+    none = pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))
+    stretches = [[[0]] * n, [[len(x)] for x in seq], pa.array([x.view(np.int64).tolist() for x in seq], pa.list_(pa.int64()))]
+    out = passages._settle(5, 46, 80)(windows, pa.table([ids, *map(pa.array, stretches[:2]), stretches[2], *none, ids], passages.SETTLED_TEXT)).to_pylist()
+    truth = {(i, j): passages.shared_passages(seq[i], seq[j], 46, 80) for j in range(n) for i in range(j)}
+    links = {(r["b"], r["a"]) for r in out}
+    assert closed(range(n), links) == closed(range(n), {(j, i) for (i, j), found in truth.items() if found})
+    places = [set(), set()]
+    for (_, j), found in truth.items():
+        places[0] |= {(j, x) for _, _, lo, hi, _ in found for x in range(lo, hi)}
+    for r in out:
+        places[1] |= {(r["b"], x) for x in range(r["b_start"], r["b_end"] - 4)}
+    assert places[1] <= places[0] and len(places[1]) >= 0.99 * len(places[0]) and len(out) <= 8 * n < 2000 < sum(map(len, truth.values()))
+
+
+def test_possible_places():
+    """No place of a passage is ruled out, repeated shingles or not; two unlike texts have none."""
+    rng = np.random.default_rng(12)
+    seen = 0
+    for high in (1 << 40, 90, 30):
+        for _ in range(40):
+            a = rng.integers(0, high, rng.integers(60, 300)).astype(np.uint64)
+            b = np.concatenate([rng.integers(0, 1 << 40, 30).astype(np.uint64), a[rng.integers(0, 20) :], rng.integers(0, 1 << 40, 9).astype(np.uint64)])
+            b[rng.integers(0, len(b), rng.integers(0, 25))] = 7
+            masks = [passages._possible(np.isin(x, y)[None, :], (passages._before(None, x) >= 0)[None, :], np.zeros(len(x), int), np.arange(len(x)), 46, 80) for x, y in ((a, b), (b, a))]
+            for lo, hi, blo, bhi, _ in passages.shared_passages(a, b, 46, 80):
+                seen += 1
+                assert masks[0][0][lo:hi].all() and masks[1][0][blo:bhi].all() and (masks[0][1][lo:hi].all() or masks[1][1][blo:bhi].all())
+    x = np.arange(100)
+    assert seen > 50 and not passages._possible(x[None, :] % 2 == 0, np.zeros((1, 100), bool), 0 * x, x, 46, 80)[0].any()
+    assert len(passages._possible(np.ones((1, 9), bool), np.zeros((1, 9), bool), x[:9] * 0, x[:9], 46, 80)[0]) == 9
+
+
 def test_passage_parts():
     """Windows of a group that a link holds on either side are one part, as are those with one partner outside."""
     key = np.array([0, 0, 0, 1, 1, 2, 2])
